@@ -183,11 +183,12 @@ def resample(df: DataFrame, freq: str = "W", agg: str = "mean", series: str = SE
     return out.where(F.col("y").isNotNull())
 
 
-def resample_all(df: DataFrame, freq: str, series: str = SERIES) -> DataFrame:
-    """Mean, median and last of each bucket in one aggregate."""
+def resample_all(df: DataFrame, freq: str, series: str = SERIES, digits: int = 6) -> DataFrame:
+    """Mean, median and last of each bucket in one aggregate (mean and median rounded to
+    ``digits`` so sums in any order agree)."""
     y = F.col("y")
     return df.groupBy(series, bucket_label("ds", freq).alias("ds")).agg(
-        F.avg(y).alias("y_mean"), F.median(y).cast("double").alias("y_median"),
+        F.round(F.avg(y), digits).alias("y_mean"), F.round(F.median(y).cast("double"), digits).alias("y_median"),
         F.max_by(y, F.when(y.isNotNull(), F.col("ds"))).cast("double").alias("y_last"),
         F.count(y).alias("n_days"),
     ).where(F.col("y_mean").isNotNull())

@@ -1,12 +1,27 @@
-"""Registered queries: name → ``(spark, sf_dir) -> DataFrame`` over the driver's tables."""
+"""Registered queries: name → ``(spark, sf_dir) -> DataFrame`` over the driver's tables.
+
+Each key is one operator (or composite) of the inventory, run over whole tables. Model keys
+that SQL cannot state are registered in ``models_catalog``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import intake
+from ..functions.dates import date_from_text
+from ..functions.holidays import clean_holiday_name, holiday_code
+from ..functions.numeric import floor_zero, round_half_even
+from ..models.trend_weekday import trend_weekday
+from ..operators import counting, features, filters, folds, scoring, series
+from ..session import scratch_path
+from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
+from ..sources.tables import read_table
+from . import intake, testbed
+from .intake import P
+from .testbed import T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +37,475 @@ def register(name: str):
     return deco
 
 
+S = "series_id"
+
+# ------------------------------------------------------------------ scans and filters --
+
+
+@register("scan_cases")
+def q_scan_cases(spark, sf):
+    return cases_a_from_tpch(spark, sf).drop("receipt_ts")
+
+
+@register("scan_cases_b")
+def q_scan_cases_b(spark, sf):
+    return cases_b_from_tpch(spark, sf).select(S, "casenumber", "crm_receipt_date__c")
+
+
+@register("filter_contains")
+def q_filter_contains(spark, sf):
+    a = filters.filter_contains(cases_a_from_tpch(spark, sf), "frontliner_workbasket", P.workbasket_needle)
+    return a.select(S, "case_id", "frontliner_workbasket")
+
+
+@register("filter_date_from")
+def q_filter_date_from(spark, sf):
+    a = filters.filter_date_from(cases_a_from_tpch(spark, sf), "receipt_date", P.date_from, "receipt_ts")
+    return a.select(S, "case_id", "receipt_date")
+
+
+@register("filter_routing")
+def q_filter_routing(spark, sf):
+    return intake.routed_cases(spark, sf).select(S, "case_id", "assigned_oic", "department", "frontliner_workbasket")
+
+
+@register("filter_channel")
+def q_filter_channel(spark, sf):
+    b = filters.filter_channel(cases_b_from_tpch(spark, sf), P.b_dept, P.b_excluded_origin)
+    return b.select(S, "casenumber", "crm_department__c", "origin")
+
+
+@register("date_from_text")
+def q_date_from_text(spark, sf):
+    b = cases_b_from_tpch(spark, sf)
+    return b.select("casenumber", "crm_receipt_date__c", date_from_text("crm_receipt_date__c").alias("receipt_date"))
+
+
+@register("flag_child")
+def q_flag_child(spark, sf):
+    """Lines after the first of an order are children of it; count rows per flag."""
+    li = read_table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") > 1, F.col("l_orderkey")).alias("parent_casenumber"))
+    flagged = filters.flag_child(li, "parent_casenumber")
+    return flagged.groupBy("is_child").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# ------------------------------------------------------------------------- counting --
+
+
+@register("dedupe_case")
+def q_dedupe_case(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), F.to_date("l_shipdate").alias("receipt_date"), "l_linenumber")
+    return counting.dedupe_case(li, "case_id", ["receipt_date", "l_linenumber"])
+
+
+@register("daily_count")
+def q_daily_count(spark, sf):
+    cases = intake.routed_cases(spark, sf).select(S, "case_id", "receipt_date")
+    return counting.daily_count(counting.dedupe_case(cases, "case_id", ["receipt_date", S]), "receipt_date")
+
+
+@register("daily_count_b")
+def q_daily_count_b(spark, sf):
+    return counting.daily_count(intake.cases_b_dated(spark, sf), "receipt_date")
+
+
+@register("filter_window")
+def q_filter_window(spark, sf):
+    return filters.filter_window(q_daily_count_b(spark, sf), *P.b_window)
+
+
+@register("date_bounds")
+def q_date_bounds(spark, sf):
+    return counting.date_bounds(intake.cases_a_filtered(spark, sf), "receipt_date")
+
+
+@register("stage_funnel")
+def q_stage_funnel(spark, sf):
+    a = intake.cases_a_filtered(spark, sf)
+    routed = intake.routed_cases(spark, sf).select("case_id", F.lit(True).alias("_r")).distinct()
+    marked = a.join(routed, "case_id", "left").withColumn("routed", F.coalesce("_r", F.lit(False)))
+    return counting.stage_funnel(marked, "routed")
+
+
+# --------------------------------------------------------------------------- series --
+
+
+def _a_counts(spark, sf):
+    return q_daily_count(spark, sf)
+
+
+@register("missing_days")
+def q_missing_days(spark, sf):
+    return series.missing_days(_a_counts(spark, sf), q_date_bounds(spark, sf))
+
+
+@register("densify_zero")
+def q_densify_zero(spark, sf):
+    return intake.source_a_daily(spark, sf)
+
+
+@register("combine_sources")
+def q_combine_sources(spark, sf):
+    return series.combine_sources(intake.source_a_daily(spark, sf), intake.source_b_daily(spark, sf))
+
+
+@register("patch_dim")
+def q_patch_dim(spark, sf):
+    return intake.patch_table(spark, sf)
+
+
+@register("patch_values")
+def q_patch_values(spark, sf):
+    return series.patch_values(q_combine_sources(spark, sf), intake.patch_table(spark, sf))
+
+
+@register("patch_copy")
+def q_patch_copy(spark, sf):
+    return series.patch_copy(q_patch_values(spark, sf), list(P.patch_rules))
+
+
 @register("intake_series")
 def q_intake_series(spark, sf):
     return intake.intake_series(spark, sf)
+
+
+# --------------------------------------------------------------------- text series --
+
+
+def _parsed(spark, sf):
+    return series.parse_series_text(testbed.balance_lines(spark, sf))
+
+
+@register("parse_grouped_number")
+def q_parse_grouped_number(spark, sf):
+    from ..functions.numeric import parse_grouped_number
+    lines = testbed.balance_lines(spark, sf)
+    return lines.select(S, "Date", parse_grouped_number("Open Balances").alias("y"))
+
+
+@register("load_series_text")
+def q_load_series_text(spark, sf):
+    """Write the derived text series as tab-separated files, read it back and parse it."""
+    path = scratch_path(spark, "series_text")
+    testbed.balance_lines(spark, sf).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    return series.parse_series_text(series.read_series_text(spark, path, "\t"))
+
+
+@register("drop_nulls")
+def q_drop_nulls(spark, sf):
+    return filters.drop_nulls(_parsed(spark, sf), ["ds", "y"])
+
+
+@register("trim_plateau")
+def q_trim_plateau(spark, sf):
+    return series.trim_plateau(q_drop_nulls(spark, sf))
+
+
+@register("interpolate")
+def q_interpolate(spark, sf):
+    return series.interpolate(q_drop_nulls(spark, sf))
+
+
+@register("clean_series")
+def q_clean_series(spark, sf):
+    return testbed.balance_series(spark, sf)
+
+
+def _resample(freq):
+    def q(spark, sf):
+        return series.resample_all(testbed.balance_series(spark, sf), freq)
+    return q
+
+
+register("resample_week")(_resample("W"))
+register("resample_week_mon")(_resample("W-MON"))
+register("resample_month")(_resample("M"))
+
+
+@register("weekday_profile")
+def q_weekday_profile(spark, sf):
+    x = features.calendar_features(testbed.balance_series(spark, sf))
+    return x.groupBy(S, "wday", "weekday_name").agg(F.round(F.avg("y"), 6).alias("y_mean"))
+
+
+@register("split_tail")
+def q_split_tail(spark, sf):
+    return filters.split_tail(testbed.balance_series(spark, sf), T.validation_days)
+
+
+@register("preview_head")
+def q_preview_head(spark, sf):
+    from pyspark.sql import Window
+    w = Window.partitionBy(S).orderBy("ds")
+    x = testbed.balance_series(spark, sf).withColumn("rn", F.row_number().over(w))
+    return x.where(F.col("rn") <= 5)
+
+
+@register("extend_horizon")
+def q_extend_horizon(spark, sf):
+    return series.extend_horizon(testbed.balance_series(spark, sf), series.default_horizon("D"), "D")
+
+
+@register("sink_horizon")
+def q_sink_horizon(spark, sf):
+    hist = testbed.balance_series(spark, sf)
+    return series.horizon_only(series.extend_horizon(hist, series.default_horizon("D"), "D"), hist)
+
+
+@register("yearend_window")
+def q_yearend_window(spark, sf):
+    return features.yearend_window(testbed.balance_series(spark, sf))
+
+
+@register("fourier_features")
+def q_fourier_features(spark, sf):
+    x = testbed.balance_series(spark, sf).select(S, "ds")
+    x = features.fourier_features(x, 7.0, 3, "weekly", digits=6)
+    return features.fourier_features(x, 365.25, 3, "yearly", digits=6)
+
+
+# ------------------------------------------------------------------------- features --
+
+
+@register("calendar")
+def q_calendar(spark, sf):
+    return series.calendar(counting.date_bounds(testbed.modelling_series(spark, sf)))
+
+
+@register("calendar_features")
+def q_calendar_features(spark, sf):
+    return features.calendar_features(testbed.modelling_series(spark, sf))
+
+
+@register("holiday_clean")
+def q_holiday_clean(spark, sf):
+    raw = testbed.holidays_raw(spark, sf)
+    return raw.select("ds", F.col("holiday").alias("raw_name"), clean_holiday_name("holiday").alias("holiday"), "is_ph")
+
+
+@register("holiday_code")
+def q_holiday_code(spark, sf):
+    x = features.holiday_join(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return x.select(S, "ds", "holiday", holiday_code("holiday").alias("holiday_code"))
+
+
+@register("holiday_join")
+def q_holiday_join(spark, sf):
+    return features.holiday_join(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+
+
+@register("holiday_range")
+def q_holiday_range(spark, sf):
+    bounds = counting.date_bounds(testbed.modelling_series(spark, sf))
+    return features.holiday_range(bounds, testbed.holidays(spark, sf))
+
+
+@register("holiday_window")
+def q_holiday_window(spark, sf):
+    return features.holiday_window(testbed.holidays(spark, sf), 0, 1)
+
+
+@register("holiday_flags")
+def q_holiday_flags(spark, sf):
+    return features.holiday_flags(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+
+
+@register("lag_flag")
+def q_lag_flag(spark, sf):
+    x = features.holiday_join(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return features.lag_flag(x, "is_ph", 1).select(S, "ds", "is_ph", "is_ph_lag1")
+
+
+@register("lag_features")
+def q_lag_features(spark, sf):
+    return features.lag_features(testbed.modelling_series(spark, sf), "y", 14)
+
+
+@register("feature_frame")
+def q_feature_frame(spark, sf):
+    return features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+
+
+# --------------------------------------------------------------------- folds, grids --
+
+
+def _bounds(spark, sf):
+    return testbed.cv_bounds(testbed.modelling_series(spark, sf))
+
+
+@register("folds_rolling")
+def q_folds_rolling(spark, sf):
+    return folds.folds_rolling(_bounds(spark, sf), T.roll_train, T.roll_horizon, T.roll_step)
+
+
+@register("cutoffs_monthly")
+def q_cutoffs_monthly(spark, sf):
+    b = _bounds(spark, sf)
+    return b.select(F.posexplode(folds.month_starts(b, T.cutoff_horizon)).alias("i", "cutoff"))
+
+
+@register("folds_cutoff")
+def q_folds_cutoff(spark, sf):
+    return folds.folds_cutoff(_bounds(spark, sf), T.cutoff_horizon)
+
+
+@register("fold_expand")
+def q_fold_expand(spark, sf):
+    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
+    return folds.fold_expand(x, q_folds_rolling(spark, sf)).select(S, "ds", "y", "fold", "role")
+
+
+# --- fixed values (grids of the original programs) -----------------------------------------
+BALANCE_CPS_GRID = [0.01, 0.05, 0.1, 0.2, 0.3, 0.5]
+STRUCTURAL_GRID = {"changepoint_prior_scale": [0.001], "seasonality_prior_scale": [0.01, 0.05],
+                   "holidays_prior_scale": [0.01]}
+TREE_GRID = {"max_depth": [2, 3, 4, 5, 6], "min_data_in_leaf": [10, 15, 20, 25, 30, 35, 40, 45, 50],
+             "learning_rate": [0.25, 0.5, 1.0, 1.5], "objective": ["regression"]}
+# ---------------------------------------------------------------------------------------------
+
+
+def _series_keys(spark, sf):
+    return testbed.modelling_series(spark, sf).select(S).distinct()
+
+
+@register("grid_params")
+def q_grid_params(spark, sf):
+    return folds.grid_params(_series_keys(spark, sf), {"changepoint_prior_scale": BALANCE_CPS_GRID})
+
+
+@register("grid_tree")
+def q_grid_tree(spark, sf):
+    return folds.tree_grid(_series_keys(spark, sf), TREE_GRID)
+
+
+# ------------------------------------------------- checkable model, scoring and blend --
+
+TW_MODELS = ["trend_weekday_add", "trend_weekday_mul"]
+
+
+def _tw(spark, sf, mode):
+    x = testbed.modelling_series(spark, sf)
+    return trend_weekday(testbed.cv_slice(x), testbed.test_slice(x), [S], mode)
+
+
+@register("trend_weekday")
+def q_trend_weekday(spark, sf):
+    return _tw(spark, sf, "mul")
+
+
+@register("all_forecasts")
+def q_all_forecasts(spark, sf):
+    return _tw(spark, sf, "add").unionByName(_tw(spark, sf, "mul"))
+
+
+@register("round_forecast")
+def q_round_forecast(spark, sf):
+    return _tw(spark, sf, "mul").select(S, "ds", "fcst", round_half_even("fcst").alias("fcst_round"))
+
+
+@register("clip_forecast")
+def q_clip_forecast(spark, sf):
+    return _tw(spark, sf, "add").select(S, "ds", "fcst", floor_zero("fcst").alias("fcst_clipped"))
+
+
+@register("pivot_models")
+def q_pivot_models(spark, sf):
+    return scoring.pivot_models(q_all_forecasts(spark, sf), TW_MODELS)
+
+
+@register("blend")
+def q_blend(spark, sf):
+    return scoring.blend(q_all_forecasts(spark, sf), TW_MODELS)
+
+
+@register("score_join")
+def q_score_join(spark, sf):
+    actual = testbed.test_slice(testbed.modelling_series(spark, sf))
+    return scoring.score_join(actual, _tw(spark, sf, "mul"))
+
+
+@register("forecast_with_actuals")
+def q_forecast_with_actuals(spark, sf):
+    hist = testbed.modelling_series(spark, sf)
+    future = series.extend_horizon(hist, series.default_horizon("D"), "D")
+    fc = trend_weekday(hist, future, [S], "mul").select(S, "ds", "fcst", "lo", "hi")
+    return scoring.forecast_with_actuals(fc, hist)
+
+
+def _metric(name):
+    def q(spark, sf):
+        return scoring.single_metric(q_all_forecasts(spark, sf), [S, "model"], name)
+    return q
+
+
+for _m in ("mae", "rmse", "mape", "kpi", "wkpi"):
+    register(f"metric_{_m}")(_metric(_m))
+
+
+def _fold_rows(spark, sf):
+    """Both checkable models backtested on the rolling folds (one fit per series × fold)."""
+    x = folds.expand_rolling(testbed.cv_slice(testbed.modelling_series(spark, sf)), T.cv_start, T.cv_end,
+                             T.roll_train, T.roll_horizon, T.roll_step)
+    tr, te = x.where(F.col("role") == "train"), x.where(F.col("role") == "test")
+    return trend_weekday(tr, te, [S, "fold"], "add").unionByName(trend_weekday(tr, te, [S, "fold"], "mul"))
+
+
+@register("fold_metrics")
+def q_fold_metrics(spark, sf):
+    m = scoring.metric_table(_fold_rows(spark, sf), ["model", S, "fold"])
+    return m.withColumn("run", F.lit("rolling_730_60_30"))
+
+
+@register("cv_mean")
+def q_cv_mean(spark, sf):
+    return scoring.cv_mean(q_fold_metrics(spark, sf), [S, "model"], "wkpi")
+
+
+@register("cv_pooled")
+def q_cv_pooled(spark, sf):
+    return scoring.cv_pooled(_fold_rows(spark, sf), [S, "model"])
+
+
+@register("metrics_by_horizon")
+def q_metrics_by_horizon(spark, sf):
+    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
+    fx = folds.fold_expand(x, q_folds_cutoff(spark, sf)).withColumn("cutoff", F.date_sub("test_start", 1))
+    tr, te = fx.where(F.col("role") == "train"), fx.where(F.col("role") == "test")
+    rows = trend_weekday(tr, te, [S, "fold", "cutoff"], "mul")
+    return scoring.metrics_by_horizon(rows, [S, "model"])
+
+
+def _validation_scores(spark, sf):
+    x = filters.split_tail(testbed.modelling_series(spark, sf), T.validation_days)
+    tr, va = x.where(F.col("split") == "train"), x.where(F.col("split") == "valid")
+    fc = trend_weekday(tr, va, [S], "mul").withColumn("param_id", F.lit(1)).unionByName(
+        trend_weekday(tr, va, [S], "add").withColumn("param_id", F.lit(2)))
+    return fc
+
+
+@register("grid_scores")
+def q_grid_scores(spark, sf):
+    m = scoring.metric_table(_validation_scores(spark, sf), [S, "param_id", "model"])
+    return m.select(S, "param_id", "model", "mae", "rmse", "mape")
+
+
+@register("best_params")
+def q_best_params(spark, sf):
+    return scoring.best_params(q_grid_scores(spark, sf), [S], "mae")
+
+
+@register("scoreboard")
+def q_scoreboard(spark, sf):
+    test = scoring.single_metric(q_all_forecasts(spark, sf), [S, "model"], "wkpi")
+    cv = q_cv_mean(spark, sf).select(S, "model", F.col("cv_mean_wkpi"))
+    return test.withColumnRenamed("wkpi", "test_wkpi").join(cv, [S, "model"], "full")
+
+
+@register("sink_full")
+def q_sink_full(spark, sf):
+    """Write history + forecast partitioned by series, read it back."""
+    path = scratch_path(spark, "forecast_full")
+    q_forecast_with_actuals(spark, sf).write.mode("overwrite").partitionBy(S).parquet(path)
+    return spark.read.parquet(path)
