@@ -11,13 +11,22 @@ SERIES = "series_id"
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def bounded_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a limit job, not a full count). Above the
-    bound the frame is returned unhinted and Spark plans a shuffle join, with AQE still free
-    to switch to a broadcast at run time when its measured size is small.
+def bounded_broadcast(dim: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Join side for a dimension whose size is not known when the plan is built.
+
+    With ``max_rows`` the caller vouches for a bound (a rule-built table such as a fold list or
+    a holiday calendar) and the side is hinted for broadcast. Without it nothing is hinted:
+    adaptive execution measures the side at run time and turns the join into a broadcast only
+    when it is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the shuffle
+    join stays. That keeps the size check in Spark, with no extra job while the plan is built.
     """
+    if max_rows is not None and max_rows <= BROADCAST_MAX_ROWS:
+        return F.broadcast(dim)
+    return dim
+
+
+def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Eager variant: count at most ``max_rows + 1`` rows now and hint only below the bound."""
     if dim.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(dim)
     return dim

@@ -509,3 +509,145 @@ def q_sink_full(spark, sf):
     path = scratch_path(spark, "forecast_full")
     q_forecast_with_actuals(spark, sf).write.mode("overwrite").partitionBy(S).parquet(path)
     return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------- models (rows-only checks) --
+# The three fitted models of the original programs, re-aimed as Spark jobs over every
+# series at once. SQL cannot state their solvers, so they carry no oracle.
+
+from ..models import arx as arx_model  # noqa: E402
+from ..models import gbt as gbt_model  # noqa: E402
+from ..models import structural  # noqa: E402
+
+# --- fixed values (the original's live tree parameters) -------------------------------------
+LIVE_TREE = {"max_depth": 2, "min_data_in_leaf": 10, "learning_rate": 0.25, "objective": "regression",
+             "num_leaves": 3, "num_iterations": 300}
+# ---------------------------------------------------------------------------------------------
+
+
+def _structural_grid():
+    import itertools
+    keys = list(STRUCTURAL_GRID)
+    return [dict(zip(keys, combo), param_id=i)
+            for i, combo in enumerate(itertools.product(*[STRUCTURAL_GRID[k] for k in keys]), 1)]
+
+
+def _split_rows(spark, sf):
+    """Intake series with ``role`` train (CV window) / test (hold-out window)."""
+    return testbed.fixed_split(testbed.modelling_series(spark, sf)).withColumn(
+        "role", F.when(F.col("split") == "train", "train").otherwise("test")).drop("split")
+
+
+def _windows(spark, sf):
+    return features.holiday_window(testbed.holidays(spark, sf), 0, 1)
+
+
+@register("forecast_structural")
+def q_forecast_structural(spark, sf):
+    return structural.forecast_structural(_split_rows(spark, sf), _structural_grid(), [S],
+                                          windows=_windows(spark, sf))
+
+
+def _arx_rows(spark, sf):
+    x = features.calendar_features(features.holiday_flags(testbed.modelling_series(spark, sf),
+                                                          testbed.holidays(spark, sf)).drop("wday"))
+    x = arx_model.with_lags(x)
+    return testbed.fixed_split(x).withColumn("role", F.col("split")).drop("split")
+
+
+@register("forecast_arx")
+def q_forecast_arx(spark, sf):
+    return arx_model.forecast_arx(_arx_rows(spark, sf), [S])
+
+
+def _gbt_frames(spark, sf):
+    ff = features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return testbed.cv_slice(ff), testbed.test_slice(ff)
+
+
+@register("forecast_gbt")
+def q_forecast_gbt(spark, sf):
+    train, test = _gbt_frames(spark, sf)
+    return gbt_model.fit_predict(train, test, LIVE_TREE)
+
+
+def _model_forecasts(spark, sf):
+    """Each model's hold-out forecast in the ``series_id, ds, model, actual, fcst`` shape."""
+    st = q_forecast_structural(spark, sf).where(F.col("param_id") == 1)
+    ax = q_forecast_arx(spark, sf)
+    gb = q_forecast_gbt(spark, sf)
+    cols = [S, "ds", "model", "actual", "fcst"]
+    return (st.withColumn("model", F.lit("structural")).select(*cols)
+            .unionByName(ax.withColumn("model", F.lit("arx")).select(*cols))
+            .unionByName(gb.withColumn("model", F.lit("gbt")).select(*cols)))
+
+
+ENSEMBLE = ["arx", "gbt", "structural"]
+
+
+@register("ensemble_forecast")
+def q_ensemble_forecast(spark, sf):
+    return scoring.blend(_model_forecasts(spark, sf), ENSEMBLE)
+
+
+@register("model_scoreboard")
+def q_model_scoreboard(spark, sf):
+    fc = _model_forecasts(spark, sf)
+    raw = scoring.metric_table(fc, [S, "model"])
+    rounded = scoring.single_metric(fc.withColumn("fcst", round_half_even("fcst")), [S, "model"], "wkpi")
+    return raw.join(rounded.withColumnRenamed("wkpi", "wkpi_rounded"), [S, "model"])
+
+
+def _backtest_rows(spark, sf):
+    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
+    return folds.expand_rolling(x, T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.roll_step)
+
+
+@register("backtest")
+def q_backtest(spark, sf):
+    """Structural model over rolling folds × grid → per series and parameter set: mean of
+    fold scores, pooled score and fold count, plus the chosen set."""
+    fc = structural.forecast_structural(_backtest_rows(spark, sf).select(S, "fold", "ds", "y", "role"),
+                                        _structural_grid(), [S, "fold"], windows=_windows(spark, sf))
+    per_fold = scoring.metric_table(fc, [S, "param_id", "fold"])
+    mean = scoring.cv_mean(per_fold, [S, "param_id"], "wkpi")
+    pooled = scoring.cv_pooled(fc, [S, "param_id"])
+    board = mean.join(pooled, [S, "param_id"])
+    best = scoring.best_params(board, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
+    return board.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
+
+
+@register("tuned_forecast")
+def q_tuned_forecast(spark, sf):
+    """Refit on all history with each series' best set and forecast the next 90 days."""
+    hist = testbed.modelling_series(spark, sf)
+    rows = series.extend_horizon(hist, 90, "D").withColumn(
+        "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
+    fc = structural.forecast_structural(rows, _structural_grid(), [S], windows=_windows(spark, sf))
+    best = q_backtest(spark, sf).where("is_best").select(S, "param_id")
+    return fc.join(best, [S, "param_id"])
+
+
+@register("components")
+def q_components(spark, sf):
+    rows = testbed.modelling_series(spark, sf).withColumn("role", F.lit("train"))
+    return structural.components(rows, _structural_grid()[0], [S], windows=_windows(spark, sf))
+
+
+@register("tune_balance")
+def q_tune_balance(spark, sf):
+    """Balance flow: last 90 days held out, six changepoint scales scored by MAE, the best
+    refitted on all history and forecast 90 days, joined back to the history."""
+    bal = testbed.balance_series(spark, sf)
+    spec = structural.StructuralSpec()
+    windows = features.yearend_window(bal).select("ds", "holiday", "offset").distinct()
+    grid = [{"changepoint_prior_scale": c, "param_id": i} for i, c in enumerate(BALANCE_CPS_GRID, 1)]
+    split = filters.split_tail(bal, T.validation_days).withColumn(
+        "role", F.when(F.col("split") == "train", "train").otherwise("test"))
+    val = structural.forecast_structural(split, grid, [S], spec, windows)
+    scores = scoring.metric_table(val, [S, "param_id"]).select(S, "param_id", "mae", "rmse", "mape")
+    best = scoring.best_params(scores, [S], "mae").select(S, "param_id")
+    rows = series.extend_horizon(bal, series.default_horizon("D"), "D").withColumn(
+        "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
+    final = structural.forecast_structural(rows, grid, [S], spec, windows).join(best, [S, "param_id"])
+    return scoring.forecast_with_actuals(final.select(S, "ds", "fcst", "lo", "hi"), bal)
