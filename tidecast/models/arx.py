@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.common import series_window
+from ..operators.common import series_window, spread_groups
 
 # --- fixed values (must equal the original program's) -----------------------------------
 REGRESSORS = ("is_ph", "is_ph_lag1", "wday", "yearday")
@@ -109,4 +109,4 @@ def forecast_arx(rows: DataFrame, keys: list[str], xcols=REGRESSORS) -> DataFram
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fit_predict_group(pdf, keys, xcols)
 
-    return x.groupBy(*keys).applyInPandas(run, schema)
+    return spread_groups(x, keys).groupBy(*keys).applyInPandas(run, schema)

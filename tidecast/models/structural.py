@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import spread_groups
 from ..operators.features import fourier_features
 
 # --- fixed values (must equal the original program's) -----------------------------------
@@ -171,7 +172,7 @@ def forecast_structural(rows: DataFrame, grid: list[dict], keys: list[str], spec
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fit_predict_group(pdf, grid, spec, hol_cols, keys)
 
-    return x.groupBy(*keys).applyInPandas(run, schema)
+    return spread_groups(x, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def components(rows: DataFrame, params: dict, keys: list[str], spec: StructuralSpec = StructuralSpec(),
@@ -218,4 +219,4 @@ def components(rows: DataFrame, params: dict, keys: list[str], spec: StructuralS
             frames.append(f)
         return pd.concat(frames, ignore_index=True)[keys + ["ds", "component", "value"]]
 
-    return x.groupBy(*keys).applyInPandas(run, schema)
+    return spread_groups(x, keys).groupBy(*keys).applyInPandas(run, schema)

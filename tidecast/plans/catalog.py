@@ -516,6 +516,7 @@ def q_sink_full(spark, sf):
 # series at once. SQL cannot state their solvers, so they carry no oracle.
 
 from ..models import arx as arx_model  # noqa: E402
+from ..models import boost  # noqa: E402
 from ..models import gbt as gbt_model  # noqa: E402
 from ..models import structural  # noqa: E402
 
@@ -565,12 +566,39 @@ def _gbt_frames(spark, sf):
     return testbed.cv_slice(ff), testbed.test_slice(ff)
 
 
+def _tree_rows(spark, sf):
+    ff = features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return testbed.fixed_split(ff).withColumn("role", F.col("split")).drop("split")
+
+
 @register("forecast_gbt")
 def q_forecast_gbt(spark, sf):
+    """One booster per series (as the original), fitted on the CV window, scored on the test window."""
+    fc = boost.forecast_boost(_tree_rows(spark, sf), [dict(LIVE_TREE, param_id=1)], [S])
+    return fc.drop("param_id")
+
+
+@register("forecast_gbt_global")
+def q_forecast_gbt_global(spark, sf):
+    """One ``pyspark.ml`` model over all series (series index as a feature)."""
     train, test = _gbt_frames(spark, sf)
     return gbt_model.fit_predict(train, test, LIVE_TREE)
 
 
+@register("backtest_gbt")
+def q_backtest_gbt(spark, sf):
+    """Tree grid over rolling folds: mean fold KPI per series and set (no scored fold → inf),
+    lowest chosen."""
+    ff = testbed.cv_slice(features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf)))
+    rows = folds.expand_rolling(ff, T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.roll_step)
+    grid = [dict(LIVE_TREE, param_id=1)]
+    fc = boost.forecast_boost(rows, grid, [S, "fold"])
+    per_fold = scoring.metric_table(fc, [S, "param_id", "fold"])
+    mean = scoring.cv_mean(per_fold, [S, "param_id"], "wkpi")
+    best = scoring.best_params(mean, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
+    return mean.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
+
+
 def _model_forecasts(spark, sf):
     """Each model's hold-out forecast in the ``series_id, ds, model, actual, fcst`` shape."""
     st = q_forecast_structural(spark, sf).where(F.col("param_id") == 1)

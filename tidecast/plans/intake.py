@@ -73,24 +73,41 @@ def cases_b_dated(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> Data
     return b.withColumn("receipt_date", date_from_text("crm_receipt_date__c"))
 
 
-def source_b_daily(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
+def _in_patch_ranges(col: str, p: IntakeParams):
+    cond = None
+    for lo, hi in p.patch_ranges:
+        c = F.col(col).between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def b_daily_both(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
+    """One pass over source B: per (series, day) the rows passing the channel filter and the
+    rows inside the patch ranges. Both the B series and the patch table come from it, so the
+    large case table is scanned and joined once."""
+    b = cases_b_from_tpch(spark, sf_dir).withColumn("ds", date_from_text("crm_receipt_date__c"))
+    chan = (F.col("crm_department__c") == F.lit(p.b_dept)) & (F.col("origin") != F.lit(p.b_excluded_origin))
+    return b.groupBy("series_id", "ds").agg(F.count_if(chan).alias("n_channel"),
+                                            F.count_if(_in_patch_ranges("ds", p)).alias("n_patch"))
+
+
+def source_b_daily(spark: SparkSession, sf_dir: str, p: IntakeParams = P, both: DataFrame | None = None) -> DataFrame:
     """Source B: rows per (series, day) inside the half-open window, zero-filled."""
-    counts = filter_window(daily_count(cases_b_dated(spark, sf_dir, p), "receipt_date"), *p.b_window)
+    both = b_daily_both(spark, sf_dir, p) if both is None else both
+    counts = both.where(F.col("n_channel") > 0).select("series_id", "ds", F.col("n_channel").alias("y"))
+    counts = filter_window(counts, *p.b_window)
     return densify_zero(counts, date_bounds(counts))
 
 
-def patch_table(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
+def patch_table(spark: SparkSession, sf_dir: str, p: IntakeParams = P, both: DataFrame | None = None) -> DataFrame:
     """Known counts for the patch ranges, taken from a second table (unfiltered lineitem)."""
-    b = cases_b_from_tpch(spark, sf_dir).withColumn("receipt_date", date_from_text("crm_receipt_date__c"))
-    in_range = None
-    for lo, hi in p.patch_ranges:
-        cond = F.col("receipt_date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date"))
-        in_range = cond if in_range is None else in_range | cond
-    return daily_count(b.where(in_range), "receipt_date")
+    both = b_daily_both(spark, sf_dir, p) if both is None else both
+    return both.where(F.col("n_patch") > 0).select("series_id", "ds", F.col("n_patch").alias("y"))
 
 
 def intake_series(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
     """The whole intake flow → ``series_id, ds, y``: one row per series and day."""
-    combined = combine_sources(source_a_daily(spark, sf_dir, p), source_b_daily(spark, sf_dir, p))
-    patched = patch_values(combined, patch_table(spark, sf_dir, p))
+    both = b_daily_both(spark, sf_dir, p)
+    combined = combine_sources(source_a_daily(spark, sf_dir, p), source_b_daily(spark, sf_dir, p, both))
+    patched = patch_values(combined, patch_table(spark, sf_dir, p, both))
     return patch_copy(patched, list(p.patch_rules))

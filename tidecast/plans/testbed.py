@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.features import holiday_calendar, holiday_dim
 from ..operators.filters import split_fixed
 from ..operators.series import clean_series
+from ..session import cut_lineage
 from ..sources.tables import read_table
 from . import intake
 
@@ -53,8 +54,9 @@ def balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balance_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned daily balances per segment (parse, drop, trim, grid, interpolate)."""
-    return clean_series(balance_lines(spark, sf_dir))
+    """Cleaned daily balances per segment (parse, drop, trim, grid, interpolate), written to
+    the checkpoint folder once: every consumer reads the small daily table, not the orders."""
+    return cut_lineage(clean_series(balance_lines(spark, sf_dir)))
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,10 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modelling_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.intake_series(spark, sf_dir)
+    """The intake series, materialised once per query in the checkpoint folder. Models read
+    it several times (fit, apply, spread); without the cut each read would redo the scans,
+    joins and patches over the raw cases."""
+    return cut_lineage(intake.intake_series(spark, sf_dir))
 
 
 def cv_slice(df: DataFrame, t: TimeParams = T) -> DataFrame:
