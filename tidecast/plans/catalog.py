@@ -18,6 +18,7 @@ from ..models.trend_weekday import trend_weekday
 from ..operators import counting, features, filters, folds, scoring, series
 from ..session import scratch_path
 from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
+from ..sources.sinks import write_series
 from ..sources.tables import read_table
 from . import intake, testbed
 from .intake import P
@@ -230,6 +231,11 @@ def q_weekday_profile(spark, sf):
     return x.groupBy(S, "wday", "weekday_name").agg(F.round(F.avg("y"), 6).alias("y_mean"))
 
 
+@register("split_fixed")
+def q_split_fixed(spark, sf):
+    return testbed.fixed_split(testbed.modelling_series(spark, sf))
+
+
 @register("split_tail")
 def q_split_tail(spark, sf):
     return filters.split_tail(testbed.balance_series(spark, sf), T.validation_days)
@@ -507,7 +513,7 @@ def q_scoreboard(spark, sf):
 def q_sink_full(spark, sf):
     """Write history + forecast partitioned by series, read it back."""
     path = scratch_path(spark, "forecast_full")
-    q_forecast_with_actuals(spark, sf).write.mode("overwrite").partitionBy(S).parquet(path)
+    write_series(q_forecast_with_actuals(spark, sf), path)
     return spark.read.parquet(path)
 
 

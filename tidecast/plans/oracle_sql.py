@@ -601,6 +601,9 @@ SELECT series_id, model, CAST(datediff('day', cutoff, ds) AS INTEGER) AS h,
        count(*) AS n
 FROM hm GROUP BY 1, 2, 3"""),
     "grid_scores": with_(INTAKE, VALID, body="SELECT * FROM gscores"),
+    "split_fixed": with_(INTAKE, body=f"""
+SELECT series_id, ds, y, CASE WHEN ds BETWEEN DATE '{T.cv_start}' AND DATE '{T.cv_end}' THEN 'train' ELSE 'test' END AS split
+FROM intake WHERE ds BETWEEN DATE '{T.cv_start}' AND DATE '{T.cv_end}' OR ds BETWEEN DATE '{T.test_start}' AND DATE '{T.test_end}'"""),
     "best_params": with_(INTAKE, VALID, body="""
 SELECT series_id, arg_min(param_id, (mae, param_id)) AS param_id, min(mae) AS mae FROM gscores WHERE mae IS NOT NULL GROUP BY 1"""),
     "scoreboard": with_(INTAKE, CVB, FOLDS, FOLD_ROWS, TW_TEST, f"""

@@ -56,8 +56,11 @@ def cases_b_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer → case table B (ship timestamp as text)."""
     li = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    keyed = o.join(_segments(spark, sf_dir), o.o_custkey == F.col("c_custkey"), "inner")
-    return li.join(keyed, li.l_orderkey == keyed.o_orderkey, "inner").select(
+    # Fact-to-dimension order: lineitem ⋈ orders, then ⋈ customer. Joining the two dimensions
+    # first leaves a join output with no size estimate, and the planner would pick lineitem as
+    # the side to build; this way each step has a plain scan as its candidate build side.
+    keyed = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+    return keyed.join(_segments(spark, sf_dir), keyed.o_custkey == F.col("c_custkey"), "inner").select(
         "series_id",
         F.col("l_orderkey").alias("casenumber"),
         F.col("l_shipdate").cast("string").alias("crm_receipt_date__c"),
