@@ -51,34 +51,35 @@ def _fit(train: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return lin, wk
 
 
-def _apply(df: DataFrame, lin: DataFrame, wk: DataFrame, keys: list[str], mode: str) -> DataFrame:
+def _apply(df: DataFrame, lin: DataFrame, wk: DataFrame, keys: list[str]) -> DataFrame:
+    """Both forecasts from one fit: ``fc_mul`` and ``fc_add``."""
     x = df.join(lin, keys).withColumn("wday", F.weekday("ds")).join(wk, keys + ["wday"], "left")
     trend = F.col("intercept") + F.col("slope") * F.datediff("ds", "origin").cast("double")
-    if mode == "mul":
-        fc = trend * F.coalesce(F.col("factor"), F.lit(1.0))
-    else:
-        fc = trend + F.coalesce(F.col("offset"), F.lit(0.0))
-    return x.withColumn("fcst", fc)
+    return x.withColumns({"fc_mul": trend * F.coalesce(F.col("factor"), F.lit(1.0)),
+                         "fc_add": trend + F.coalesce(F.col("offset"), F.lit(0.0))})
 
 
 def trend_weekday(train: DataFrame, predict: DataFrame, keys: list[str], mode: str = "mul",
                   digits: int = 6) -> DataFrame:
     """Fit on ``train`` per ``keys``, forecast the ``predict`` rows.
 
+    ``mode`` is ``mul``, ``add`` or ``both`` (both share one fit: same sums, same passes).
     Output: ``keys…, ds, actual, fcst, lo, hi, model``.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
+    modes = list(MODES) if mode == "both" else [mode]
+    if any(m not in MODES for m in modes):
+        raise ValueError(f"mode must be one of {MODES} or 'both'")
     lin, wk = _fit(train, keys)
-    fitted = _apply(train, lin, wk, keys, mode)
-    spread = fitted.groupBy(*keys).agg(
-        F.sqrt(F.avg(F.pow(F.col("y").cast("double") - F.col("fcst"), 2))).alias("rmse_in"))
-    out = _apply(predict, lin, wk, keys, mode).join(spread, keys, "left")
-    half = F.lit(Z80) * F.coalesce(F.col("rmse_in"), F.lit(0.0))
-    return out.select(
-        *keys, "ds", F.col("y").cast("double").alias("actual"),
-        F.col("fcst"),
-        F.round(F.col("fcst") - half, digits).alias("lo"),
-        F.round(F.col("fcst") + half, digits).alias("hi"),
-        F.lit(f"trend_weekday_{mode}").alias("model"),
-    )
+    y = F.col("y").cast("double")
+    spread = _apply(train, lin, wk, keys).groupBy(*keys).agg(
+        *[F.sqrt(F.avg(F.pow(y - F.col(f"fc_{m}"), 2))).alias(f"rmse_{m}") for m in modes])
+    out = _apply(predict, lin, wk, keys).join(spread, keys, "left")
+    parts = []
+    for m in modes:
+        fc = F.col(f"fc_{m}")
+        half = F.lit(Z80) * F.coalesce(F.col(f"rmse_{m}"), F.lit(0.0))
+        parts.append(F.struct(fc.alias("fcst"), F.round(fc - half, digits).alias("lo"),
+                              F.round(fc + half, digits).alias("hi"), F.lit(f"trend_weekday_{m}").alias("model")))
+    one = parts[0] if len(parts) == 1 else None
+    x = out.select(*keys, "ds", y.alias("actual"), (one if one is not None else F.explode(F.array(*parts))).alias("_m"))
+    return x.select(*keys, "ds", "actual", "_m.fcst", "_m.lo", "_m.hi", "_m.model")

@@ -33,7 +33,14 @@ def register(name: str):
     def deco(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with testbed.query_scope():
+                return fn(spark, sf_dir)
+
+        run.__name__ = run.__qualname__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -403,7 +410,7 @@ def q_trend_weekday(spark, sf):
 
 @register("all_forecasts")
 def q_all_forecasts(spark, sf):
-    return _tw(spark, sf, "add").unionByName(_tw(spark, sf, "mul"))
+    return _tw(spark, sf, "both")
 
 
 @register("round_forecast")
@@ -455,7 +462,7 @@ def _fold_rows(spark, sf):
     x = folds.expand_rolling(testbed.cv_slice(testbed.modelling_series(spark, sf)), T.cv_start, T.cv_end,
                              T.roll_train, T.roll_horizon, T.roll_step)
     tr, te = x.where(F.col("role") == "train"), x.where(F.col("role") == "test")
-    return trend_weekday(tr, te, [S, "fold"], "add").unionByName(trend_weekday(tr, te, [S, "fold"], "mul"))
+    return trend_weekday(tr, te, [S, "fold"], "both")
 
 
 @register("fold_metrics")
@@ -486,9 +493,8 @@ def q_metrics_by_horizon(spark, sf):
 def _validation_scores(spark, sf):
     x = filters.split_tail(testbed.modelling_series(spark, sf), T.validation_days)
     tr, va = x.where(F.col("split") == "train"), x.where(F.col("split") == "valid")
-    fc = trend_weekday(tr, va, [S], "mul").withColumn("param_id", F.lit(1)).unionByName(
-        trend_weekday(tr, va, [S], "add").withColumn("param_id", F.lit(2)))
-    return fc
+    fc = trend_weekday(tr, va, [S], "both")
+    return fc.withColumn("param_id", F.when(F.col("model") == "trend_weekday_mul", 1).otherwise(2))
 
 
 @register("grid_scores")

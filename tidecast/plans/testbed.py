@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +58,7 @@ def balance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balance_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned daily balances per segment (parse, drop, trim, grid, interpolate), written to
     the checkpoint folder once: every consumer reads the small daily table, not the orders."""
-    return cut_lineage(clean_series(balance_lines(spark, sf_dir)))
+    return _scoped(("balance", sf_dir), lambda: cut_lineage(clean_series(balance_lines(spark, sf_dir))))
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +73,34 @@ def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holiday_dim(holidays_raw(spark, sf_dir))
 
 
+_SCOPE: contextvars.ContextVar[dict | None] = contextvars.ContextVar("tidecast_query_scope", default=None)
+
+
+@contextlib.contextmanager
+def query_scope():
+    """Materialised inputs live for one query call: built once inside it, never shared
+    between calls."""
+    token = _SCOPE.set({})
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def _scoped(key, build):
+    scope = _SCOPE.get()
+    if scope is None:
+        return build()
+    if key not in scope:
+        scope[key] = build()
+    return scope[key]
+
+
 def modelling_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intake series, materialised once per query in the checkpoint folder. Models read
     it several times (fit, apply, spread); without the cut each read would redo the scans,
     joins and patches over the raw cases."""
-    return cut_lineage(intake.intake_series(spark, sf_dir))
+    return _scoped(("intake", sf_dir), lambda: cut_lineage(intake.intake_series(spark, sf_dir)))
 
 
 def cv_slice(df: DataFrame, t: TimeParams = T) -> DataFrame:
