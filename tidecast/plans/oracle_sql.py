@@ -534,7 +534,7 @@ FROM hflags"""),
     "fold_expand": with_(INTAKE, CVB, FOLDS, expand_sql("cv", "rfolds", "rx"),
                          body="SELECT series_id, ds, y, fold, role FROM rx"),
     "grid_params": with_(INTAKE, body=f"""
-SELECT s.series_id, g.param_id, g.changepoint_prior_scale
+SELECT s.series_id, g.param_id, CAST(g.changepoint_prior_scale AS DOUBLE) AS changepoint_prior_scale
 FROM (SELECT DISTINCT series_id FROM intake) s, (VALUES {_cps}) g(param_id, changepoint_prior_scale)"""),
     "grid_tree": with_(INTAKE, body=f"""
 SELECT s.series_id, CAST((d.max_depth - 2) * 36 + ((m.min_data_in_leaf - 10) // 5) * 4 + l.li AS INTEGER) AS param_id,
