@@ -29,9 +29,15 @@ def missing_days(counts: DataFrame, bounds: DataFrame, series: str = SERIES) ->
 
 
 def densify_zero(counts: DataFrame, bounds: DataFrame, series: str = SERIES) -> DataFrame:
-    """Counts plus a 0 row for every missing calendar day (union by name)."""
-    zeros = missing_days(counts, bounds, series).withColumn("y", F.lit(0).cast("bigint"))
-    return counts.select(series, "ds", F.col("y").cast("bigint").alias("y")).unionByName(zeros)
+    """Counts plus a 0 row for every missing calendar day.
+
+    Same rows as counts ∪ (calendar ⋉̸ counts with 0), stated as one full outer join so the
+    counts are read once (the anti-join-plus-union form uses them twice and re-runs the
+    case scan, filter and aggregate behind them).
+    """
+    c = counts.select(series, "ds", F.col("y").cast("bigint").alias("y"))
+    out = c.join(calendar(bounds, series), [series, "ds"], "full")
+    return out.select(series, "ds", F.coalesce(F.col("y"), F.lit(0).cast("bigint")).alias("y"))
 
 
 def combine_sources(a: DataFrame, b: DataFrame, series: str = SERIES) -> DataFrame:
@@ -69,18 +75,29 @@ def _independent(rules) -> bool:
 
 
 def _copy_pass(df: DataFrame, rules_df: DataFrame, series: str) -> DataFrame:
+    """One read of ``df``: tag rows with the rule windows they fall in (broadcast range join
+    to the few rules, rows in none keep a null rule), rank each side by day with running
+    counts, pair a target with the source of the same rank by a lag over (rank, side), then
+    one aggregate per (series, day) keeps the last rule's value or the original."""
     r = F.broadcast(rules_df)  # a handful of user rules
-    keyed = df.select(series, "ds", "y")
-    tgt = keyed.join(r, F.col("ds").between(F.col("t0"), F.col("t1"))).select(series, "rule", "ds")
-    src = keyed.join(r, F.col("ds").between(F.col("s0"), F.col("s1"))).select(series, "rule", "ds", "y")
-    w = Window.partitionBy(series, "rule").orderBy("ds")
-    tgt = tgt.withColumn("rank", F.row_number().over(w))
-    src = src.withColumn("rank", F.row_number().over(w)).select(series, "rule", "rank", F.col("y").alias("_src_y"))
-    paired = tgt.join(src, [series, "rule", "rank"], "inner")
+    in_t = F.col("ds").between(F.col("t0"), F.col("t1"))
+    in_s = F.col("ds").between(F.col("s0"), F.col("s1"))
+    x = df.select(series, "ds", "y").join(r, in_t | in_s, "left")
+    sides = F.filter(F.array(F.when(in_s, F.lit(0)), F.when(in_t, F.lit(1))), lambda v: v.isNotNull())
+    x = x.withColumn("side", F.explode_outer(sides))  # 0 = source, 1 = target
+    by_day = Window.partitionBy(series, "rule").orderBy("ds", "side").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("rank", F.when(F.col("side") == 1, F.count_if(F.col("side") == 1).over(by_day))
+                     .otherwise(F.count_if(F.col("side") == 0).over(by_day)))
+    by_rank = Window.partitionBy(series, "rule").orderBy("rank", "side")
+    paired = ((F.col("side") == 1) & (F.lag("side").over(by_rank) == 0)
+              & (F.lag("rank").over(by_rank) == F.col("rank")))
+    x = x.withColumn("_src_y", F.when(paired, F.lag("y").over(by_rank)))
     # When targets overlap, the later rule wins (it would have been applied last).
-    last = paired.groupBy(series, "ds").agg(F.max_by("_src_y", "rule").alias("_src_y"))
-    out = df.join(last, [series, "ds"], "left")
-    return out.withColumn("y", F.coalesce(F.col("_src_y"), F.col("y")).cast(df.schema["y"].dataType)).drop("_src_y")
+    out = x.groupBy(series, "ds").agg(
+        F.first("y").alias("y"),
+        F.max_by("_src_y", F.when(F.col("_src_y").isNotNull(), F.col("rule"))).alias("_src_y"))
+    y_type = df.schema["y"].dataType
+    return out.select(series, "ds", F.coalesce(F.col("_src_y"), F.col("y")).cast(y_type).alias("y"))
 
 
 def patch_copy(df: DataFrame, rules: list[tuple[str, str, str, str]], series: str = SERIES) -> DataFrame:
