@@ -141,3 +141,14 @@ def test_clean_series_from_text(spark, tmp_path):
     out = series.clean_series(lines).orderBy("ds").toPandas()
     assert out["ds"].tolist() == [D(2022, 1, 1), D(2022, 1, 2), D(2022, 1, 3), D(2022, 1, 4)]
     assert np.allclose(out["y"], [1963.0, 1963 + (2934 - 1963) / 3, 1963 + 2 * (2934 - 1963) / 3, 2934.0])
+
+
+def test_resample_split_drops_shared_label(spark):
+    # 2024-01-01 is a Monday; 40 days, last 10 held out → cutoff 2024-01-30 (a Tuesday)
+    rows = [("a", D(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(40)]
+    out = series.resample_split(sdf(spark, rows, "double"), 10, "W").toPandas()
+    train_labels = set(out[out.split == "train"].ds)
+    valid_labels = set(out[out.split == "valid"].ds)
+    assert not train_labels & valid_labels
+    assert D(2024, 2, 4) in train_labels  # week of the cutoff stays with training
+    assert valid_labels == {D(2024, 2, 11)}

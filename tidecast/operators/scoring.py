@@ -38,6 +38,12 @@ def cv_mean(fold_scores: DataFrame, keys: list[str], score: str = "wkpi", digits
         F.count(score).alias("n_folds"))
 
 
+def with_grid_mean(scores: DataFrame, keys: list[str], score: str, digits: int = 6) -> DataFrame:
+    """Add the mean of ``score`` over every parameter set of a key (the grid-wide average)."""
+    from pyspark.sql import Window
+    return scores.withColumn(f"grid_mean_{score}", F.round(F.avg(score).over(Window.partitionBy(*keys)), digits))
+
+
 def cv_pooled(fold_rows: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Weighted KPI over all fold rows of a key at once (folds ignored)."""
     return fold_rows.groupBy(*keys).agg(F.round(M.weighted_kpi("actual", "fcst"), digits).alias("cv_pooled_wkpi"))

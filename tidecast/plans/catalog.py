@@ -654,7 +654,23 @@ def q_backtest(spark, sf):
     pooled = scoring.cv_pooled(fc, [S, "param_id"])
     board = mean.join(pooled, [S, "param_id"])
     best = scoring.best_params(board, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
-    return board.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
+    out = board.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
+    return scoring.with_grid_mean(out, [S], "cv_mean_wkpi")
+
+
+@register("backtest_cutoff")
+def q_backtest_cutoff(spark, sf):
+    """The original's live tuning loop: structural model refitted at every month-start cutoff
+    (train on all days up to it, score the next 60), pooled weighted KPI per parameter set over
+    all cutoff rows, arg-min chosen, plus the mean over the grid."""
+    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
+    rows = folds.fold_expand(x, folds.folds_cutoff(_bounds(spark, sf), T.cutoff_horizon)).select(
+        S, "fold", "ds", "y", "role")
+    fc = structural.forecast_structural(rows, _structural_grid(), [S, "fold"], windows=_windows(spark, sf))
+    pooled = scoring.cv_pooled(fc, [S, "param_id"])
+    best = scoring.best_params(pooled, [S], "cv_pooled_wkpi").select(S, F.col("param_id").alias("_best"))
+    out = pooled.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
+    return scoring.with_grid_mean(out, [S], "cv_pooled_wkpi")
 
 
 @register("tuned_forecast")
