@@ -16,7 +16,7 @@ from ..functions.holidays import clean_holiday_name, holiday_code
 from ..functions.numeric import floor_zero, round_half_even
 from ..models.trend_weekday import trend_weekday
 from ..operators import counting, features, filters, folds, scoring, series
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
 from ..sources.sinks import write_series
 from ..sources.tables import read_table
@@ -35,6 +35,7 @@ def register(name: str):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             with testbed.query_scope():
                 return fn(spark, sf_dir)
 

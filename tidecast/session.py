@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -69,3 +70,30 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidecast`` importable on every executor: zip the package once per application
+    and hand it to ``addPyFile`` (what ``--py-files`` does for spark-submit). Grouped pandas
+    functions refer to package code, so workers must import it wherever the driver started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import tidecast
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(tidecast.__file__)))
+    out_dir = tempfile.mkdtemp(prefix="tidecast-pkg-")
+    zpath = os.path.join(out_dir, "tidecast.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "tidecast")):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
