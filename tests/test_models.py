@@ -96,3 +96,23 @@ def test_trend_weekday_exact_on_clean_data(spark):
     out = trend_weekday(df.where(F.col("ds") < D(2022, 2, 21)), df.where(F.col("ds") >= D(2022, 2, 21)),
                         ["series_id"], "mul").toPandas()
     assert np.abs(out.actual - out.fcst).max() < 1.5
+
+
+def test_trend_weekday_rows_equals_joined_form(spark):
+    from tidecast.models.trend_weekday import trend_weekday_rows
+    rng = np.random.default_rng(4)
+    rows = []
+    for s in ("a", "b"):
+        for fold in (1, 2):
+            for i in range(80):
+                d = D(2022, 1, 1) + dt.timedelta(days=i + 10 * fold)
+                rows.append((s, fold, d, int(rng.integers(0, 30)), "train" if i < 60 else "test"))
+    df = spark.createDataFrame(rows, "series_id string, fold int, ds date, y bigint, role string")
+    keys = ["series_id", "fold"]
+    a = trend_weekday(df.where("role = 'train'"), df.where("role = 'test'"), keys, "both").toPandas()
+    b = trend_weekday_rows(df, keys, "both").toPandas()
+    cols = keys + ["ds", "model"]
+    a, b = a.sort_values(cols).reset_index(drop=True), b.sort_values(cols).reset_index(drop=True)
+    assert len(a) == len(b) == 2 * 2 * 20 * 2
+    assert (a.fcst.to_numpy() == b.fcst.to_numpy()).all()  # bit-identical forecasts
+    assert np.allclose(a.lo, b.lo) and np.allclose(a.hi, b.hi)

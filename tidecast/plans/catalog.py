@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_from_text
 from ..functions.holidays import clean_holiday_name, holiday_code
 from ..functions.numeric import floor_zero, round_half_even
-from ..models.trend_weekday import trend_weekday
+from ..models.trend_weekday import trend_weekday, trend_weekday_rows
 from ..operators import counting, features, filters, folds, scoring, series
 from ..session import scratch_path, ship_package
 from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
@@ -462,8 +462,7 @@ def _fold_rows(spark, sf):
     """Both checkable models backtested on the rolling folds (one fit per series × fold)."""
     x = folds.expand_rolling(testbed.cv_slice(testbed.modelling_series(spark, sf)), T.cv_start, T.cv_end,
                              T.roll_train, T.roll_horizon, T.roll_step)
-    tr, te = x.where(F.col("role") == "train"), x.where(F.col("role") == "test")
-    return trend_weekday(tr, te, [S, "fold"], "both")
+    return trend_weekday_rows(x.select(S, "fold", "ds", "y", "role"), [S, "fold"], "both")
 
 
 @register("fold_metrics")
@@ -486,8 +485,7 @@ def q_cv_pooled(spark, sf):
 def q_metrics_by_horizon(spark, sf):
     x = testbed.cv_slice(testbed.modelling_series(spark, sf))
     fx = folds.fold_expand(x, q_folds_cutoff(spark, sf)).withColumn("cutoff", F.date_sub("test_start", 1))
-    tr, te = fx.where(F.col("role") == "train"), fx.where(F.col("role") == "test")
-    rows = trend_weekday(tr, te, [S, "fold", "cutoff"], "mul")
+    rows = trend_weekday_rows(fx.select(S, "fold", "cutoff", "ds", "y", "role"), [S, "fold", "cutoff"], "mul")
     return scoring.metrics_by_horizon(rows, [S, "model"])
 
 
