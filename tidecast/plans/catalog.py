@@ -127,7 +127,7 @@ def q_filter_window(spark, sf):
 
 @register("date_bounds")
 def q_date_bounds(spark, sf):
-    return counting.date_bounds(intake.cases_a_filtered(spark, sf), "receipt_date")
+    return intake.source_a_bounds(spark, sf)
 
 
 @register("stage_funnel")

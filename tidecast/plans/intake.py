@@ -15,7 +15,8 @@ from ..functions.dates import date_from_text
 from ..operators.counting import date_bounds, daily_count, dedupe_case
 from ..operators.filters import filter_channel, filter_contains, filter_date_from, filter_routing, filter_window
 from ..operators.series import combine_sources, densify_zero, patch_copy, patch_values
-from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch, routing_agents_from_tpch
+from ..sources.cases import (attach_segment, cases_a_from_tpch, cases_b_from_tpch, orders_cases,
+                             routing_agents_from_tpch)
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,18 @@ def cases_a_filtered(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> D
     return filter_date_from(a, "receipt_date", p.date_from, raw_ts_col="receipt_ts")
 
 
+def source_a_bounds(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
+    """First and last filtered receipt day per series (before routing and dedupe).
+
+    Aggregated per customer first (partial aggregation, one row per customer), then joined to
+    the customer dimension and reduced per series: the join sees customers, not orders."""
+    raw = filter_contains(orders_cases(spark, sf_dir), "frontliner_workbasket", p.workbasket_needle)
+    raw = filter_date_from(raw, "receipt_date", p.date_from, raw_ts_col="receipt_ts")
+    per_cust = raw.groupBy("_custkey").agg(F.min("receipt_date").alias("start"), F.max("receipt_date").alias("end"))
+    keyed = attach_segment(spark, sf_dir, per_cust)
+    return keyed.groupBy("series_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def routed_cases(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
     a = cases_a_filtered(spark, sf_dir, p)
     agents = routing_agents_from_tpch(spark, sf_dir, p.routing_min_balance)
@@ -62,7 +75,7 @@ def routed_cases(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataF
 def source_a_daily(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
     """Source A: distinct routed cases per (series, day), zero-filled between the bounds of
     the wider filtered set (bounds are taken before routing and dedupe)."""
-    bounds = date_bounds(cases_a_filtered(spark, sf_dir, p), "receipt_date")
+    bounds = source_a_bounds(spark, sf_dir, p)
     cases = routed_cases(spark, sf_dir, p).select("series_id", "case_id", "receipt_date")
     unique = dedupe_case(cases, "case_id", ["receipt_date", "series_id"])
     return densify_zero(daily_count(unique, "receipt_date"), bounds)

@@ -37,14 +37,14 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cases_a_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders ⋈ customer → case table A, one series per market segment."""
+def orders_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Case table A columns straight from orders, before the series key is attached
+    (``_custkey`` kept for ``attach_segment``)."""
     o = read_table(spark, sf_dir, "orders")
-    return o.join(_segments(spark, sf_dir), o.o_custkey == F.col("c_custkey"), "inner").select(
-        "series_id",
+    return o.select(
+        F.col("o_custkey").alias("_custkey"),
         F.col("o_orderkey").alias("case_id"),
         F.col("o_orderpriority").alias("frontliner_workbasket"),
-        F.col("series_id").alias("team_type"),
         F.col("o_orderstatus").alias("department"),
         F.col("o_custkey").cast("string").alias("assigned_oic"),
         F.col("o_orderdate").alias("receipt_ts"),
@@ -52,6 +52,19 @@ def cases_a_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attach_segment(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """Series key (the customer's market segment) for rows carrying ``_custkey``."""
+    seg = _segments(spark, sf_dir)
+    return df.join(seg, df._custkey == seg.c_custkey, "inner").drop("c_custkey", "_custkey")
+
+
+def cases_a_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders ⋈ customer → case table A, one series per market segment."""
+    x = attach_segment(spark, sf_dir, orders_cases(spark, sf_dir))
+    return x.select("series_id", "case_id", "frontliner_workbasket", F.col("series_id").alias("team_type"),
+                    "department", "assigned_oic", "receipt_ts", "receipt_date")
+
+
 def cases_b_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ orders ⋈ customer → case table B (ship timestamp as text)."""
     li = read_table(spark, sf_dir, "lineitem")
