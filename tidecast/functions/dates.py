@@ -65,7 +65,3 @@ def date_range(start, end) -> Column:
     """Array of every day from ``start`` to ``end`` inclusive (explode it to rows)."""
     return F.sequence(_c(start), _c(end))
 
-
-def day_index(ds, origin) -> Column:
-    """Whole days from ``origin`` to ``ds``."""
-    return F.datediff(_c(ds), _c(origin))

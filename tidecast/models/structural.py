@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import spread_groups
-from ..operators.features import fourier_features
 
 # --- fixed values (must equal the original program's) -----------------------------------
 # (name, period in days, Fourier order); weekly/monthly/quarterly only at daily frequency.
@@ -53,10 +52,6 @@ class StructuralSpec:
         return out
 
 
-def add_season_terms(df: DataFrame, spec: StructuralSpec) -> DataFrame:
-    for name, period, order in spec.seasonalities:
-        df = fourier_features(df, period, order, name)
-    return df
 
 
 def _ridge(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray) -> np.ndarray:

@@ -25,11 +25,6 @@ def bounded_broadcast(dim: DataFrame, max_rows: int | None = None) -> DataFrame:
     return dim
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Eager variant: count at most ``max_rows + 1`` rows now and hint only below the bound."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
 
 
 def series_window(series: str = SERIES, order: str = "ds") -> Window:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from .common import SERIES, lit_date
 
 
-def _bounds_row(spark, start, end) -> DataFrame:
-    return spark.range(1).select(lit_date(start).alias("start"), lit_date(end).alias("end"))
 
 
 def folds_rolling(bounds: DataFrame, train_days: int, horizon: int, step: int) -> DataFrame:

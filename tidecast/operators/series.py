@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import bucket_label, date_range
 from ..functions.numeric import parse_grouped_number
 from ..functions.dates import day_first_date
-from .common import SERIES, bounded_broadcast, lit_date
+from .common import SERIES, bounded_broadcast
 
 
 # ---------------------------------------------------------------- calendar and densify --
@@ -258,6 +258,3 @@ def horizon_only(df: DataFrame, history: DataFrame, series: str = SERIES) -> Dat
     last = history.groupBy(series).agg(F.max("ds").alias("_last"))
     return df.join(last, series, "inner").where(F.col("ds") > F.col("_last")).drop("_last")
 
-
-def lit_days(a: str, b: str):
-    return lit_date(a), lit_date(b)
