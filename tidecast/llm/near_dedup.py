@@ -94,18 +94,14 @@ def shingles_udf(k: int):
     return shingles
 
 
-def _confirmed(signed: DataFrame, edges: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
-    """The edges (a, b) whose full shingle sets are similar enough; only sets of ends are built."""
-    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "row")
-    sets = scratch.write(signed.join(ends, "row", "left_semi").select("row", shingles_udf(spec.words)("text").alias("s")), "sets")
+def _confirmed(sets: DataFrame, edges: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
+    """The edges (a, b) whose full shingle sets (row, s) are similar enough."""
     left = sets.select(F.col("row").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("row").alias("b"), F.col("s").alias("sb"))
     both = edges.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - F.col("shared")
-    out = scratch.write(both.withColumn("shared", shared).where(F.col("shared") * 100 >= union * spec.percent).select("a", "b"), "links")
-    scratch.drop(sets)
-    return out
+    return scratch.write(both.withColumn("shared", shared).where(F.col("shared") * 100 >= union * spec.percent).select("a", "b"), "links")
 
 
 def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
@@ -128,7 +124,10 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
     buckets = scratch.write(keys.join(centres, "key").select("row", "c1", "c2"), "buckets")
     scratch.drop(keys)
     first = scratch.write(buckets.where("row != c1").select(F.col("row").alias("a"), F.col("c1").alias("b")).distinct(), "edges")
-    links = _confirmed(signed, first, spec, scratch)
+    # texts move once for both rounds, by a shuffle at every size: the list of bucket members grows with the corpus
+    ends = buckets.select("row").distinct().hint("merge")
+    sets = scratch.write(signed.join(ends, "row", "left_semi").select("row", shingles_udf(spec.words)("text").alias("s")), "sets")
+    links = _confirmed(sets, first, spec, scratch)
     roots = scratch.write(connected_components(links, scratch), "roots")
     pairs = buckets.where("row != c2").select(F.col("row").alias("a"), F.col("c2").alias("b")).distinct()
     ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
@@ -137,8 +136,9 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
     if second.isEmpty():
         end = roots
     else:
-        more = _confirmed(signed, second, spec, scratch)
+        more = _confirmed(sets, second, spec, scratch)
         end = scratch.write(connected_components(links.union(more), scratch), "roots2")
+    scratch.drop(sets)
     out = members.join(end.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
     return scratch.write(out, "groups")
 
