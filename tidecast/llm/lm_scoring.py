@@ -128,7 +128,14 @@ class Vocabulary:
 
 
 def _vocabulary(counts: DataFrame, spec: HmmSpec) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "h").limit(spec.known_words).toPandas()
+    # a histogram of the counts finds a floor, so tasks send the driver few more words than it keeps
+    level = F.floor(F.log2(F.col("c")) * 8).cast("int")
+    floor = upto = 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):
+        floor, upto = r.level, upto + r.n
+        if upto >= spec.known_words:
+            break
+    top = counts.where(level >= floor).orderBy(F.desc("c"), "h").limit(spec.known_words).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     c = top["c"].to_numpy(np.int64)
     shared = top["shared"].to_numpy(np.int64)
