@@ -26,6 +26,23 @@ def filter_date_from(df: DataFrame, date_col: str, lower: str, raw_ts_col: str |
     return out
 
 
+def flag_routing(
+    df: DataFrame,
+    agents: DataFrame,
+    dept_value: str,
+    exclude_substring: str,
+    agent_col: str = "assigned_oic",
+    dept_col: str = "department",
+    workbasket_col: str = "frontliner_workbasket",
+) -> DataFrame:
+    """``df`` with a boolean ``routed``: the predicate of ``filter_routing`` for each row."""
+    other = (F.col(dept_col) == F.lit(dept_value)) & ~F.col(workbasket_col).contains(exclude_substring)
+    flagged = agents.select(F.col("agent").alias("_agent")).distinct().withColumn("_routed", F.lit(True))
+    joined = df.join(flagged, F.col(agent_col) == F.col("_agent"), "left")
+    hit = F.coalesce(F.col("_routed") | other, other, F.col("_routed"), F.lit(False))
+    return joined.withColumn("routed", hit).drop("_agent", "_routed")
+
+
 def filter_routing(
     df: DataFrame,
     agents: DataFrame | list[str],

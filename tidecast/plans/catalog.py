@@ -20,6 +20,7 @@ from ..session import scratch_path, ship_package
 from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
 from ..sources.sinks import write_series
 from ..sources.tables import read_table
+from ..sources.cases import routing_agents_from_tpch
 from . import intake, testbed
 from .intake import P
 from .testbed import T
@@ -133,9 +134,8 @@ def q_date_bounds(spark, sf):
 @register("stage_funnel")
 def q_stage_funnel(spark, sf):
     a = intake.cases_a_filtered(spark, sf)
-    routed = intake.routed_cases(spark, sf).select("case_id", F.lit(True).alias("_r")).distinct()
-    marked = a.join(routed, "case_id", "left").withColumn("routed", F.coalesce("_r", F.lit(False)))
-    return counting.stage_funnel(marked, "routed")
+    agents = routing_agents_from_tpch(spark, sf, P.routing_min_balance)
+    return counting.stage_funnel(filters.flag_routing(a, agents, P.routing_dept, P.routing_exclude), "routed")
 
 
 # --------------------------------------------------------------------------- series --

@@ -30,18 +30,18 @@ class IntakeParams:
     routing_exclude: str = "LOW"
     b_dept: str = "R"
     b_excluded_origin: str = "O"
-    b_window: tuple[str, str] = ("1998-06-21", "2000-06-30")
+    b_window: tuple[str, str] = ("1998-03-02", "2000-10-15")
     patch_ranges: tuple[tuple[str, str], ...] = (
-        ("1996-02-21", "1996-03-31"),
-        ("1996-06-24", "1996-06-28"),
-        ("1996-07-10", "1996-07-25"),
+        ("1996-04-08", "1996-05-05"),
+        ("1996-09-02", "1996-09-11"),
+        ("1997-01-13", "1997-01-19"),
     )
-    # (target_start, target_end, source_start, source_end): a 9-day target with an 8-day
+    # (target_start, target_end, source_start, source_end): a 12-day target with a 10-day
     # source, a source after its target, and a short pair.
     patch_rules: tuple[tuple[str, str, str, str], ...] = field(default=(
-        ("1999-06-21", "1999-06-29", "1999-06-07", "1999-06-14"),
-        ("1998-12-01", "1998-12-10", "1998-12-17", "1998-12-26"),
-        ("1999-05-11", "1999-05-12", "1999-05-04", "1999-05-05"),
+        ("1999-08-09", "1999-08-20", "1999-07-19", "1999-07-28"),
+        ("1998-10-05", "1998-10-11", "1998-11-02", "1998-11-08"),
+        ("1999-03-16", "1999-03-18", "1999-03-09", "1999-03-11"),
     ))
 
 

@@ -27,10 +27,10 @@ def _rules_values(rules) -> str:
 # Case tables in the reference's roles.
 CASES = f"""
 a_all AS (
-  SELECT c.c_mktsegment AS series_id, o.o_orderkey AS case_id, o.o_orderpriority AS frontliner_workbasket,
-         c.c_mktsegment AS team_type, o.o_orderstatus AS department, CAST(o.o_custkey AS VARCHAR) AS assigned_oic,
+  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, o.o_orderkey AS case_id, o.o_orderpriority AS frontliner_workbasket,
+         coalesce(c.c_mktsegment, 'unknown') AS team_type, o.o_orderstatus AS department, CAST(o.o_custkey AS VARCHAR) AS assigned_oic,
          CAST(o.o_orderdate AS DATE) AS receipt_date
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 ),
 a_f AS (
   SELECT * FROM a_all
@@ -43,10 +43,10 @@ a_routed AS (
      OR (department = '{P.routing_dept}' AND NOT contains(frontliner_workbasket, '{P.routing_exclude}'))
 ),
 b_all AS (
-  SELECT c.c_mktsegment AS series_id, l.l_orderkey AS casenumber, CAST(l.l_shipdate AS VARCHAR) AS crm_receipt_date__c,
+  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, l.l_orderkey AS casenumber, CAST(l.l_shipdate AS VARCHAR) AS crm_receipt_date__c,
          l.l_returnflag AS crm_department__c, l.l_linestatus AS origin,
          CAST(try_strptime(substr(CAST(l.l_shipdate AS VARCHAR), 1, 10), '%Y-%m-%d') AS DATE) AS receipt_date
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 ),
 b_f AS (SELECT * FROM b_all WHERE crm_department__c = '{P.b_dept}' AND origin <> '{P.b_excluded_origin}')
 """
@@ -432,10 +432,9 @@ SELECT case_id, receipt_date, l_linenumber FROM (
 WHERE ds <= DATE '{P.b_window[1]}' AND ds > DATE '{P.b_window[0]}'"""),
     "date_bounds": with_(CASES, A_CNT, body="SELECT series_id, start, \"end\" FROM a_bounds"),
     "stage_funnel": with_(CASES, body="""
-SELECT f.series_id, count(*) AS n_scanned, count(*) FILTER (WHERE r.case_id IS NOT NULL) AS n_routed,
-       count(DISTINCT r.case_id) AS n_unique
-FROM a_f f LEFT JOIN (SELECT DISTINCT case_id FROM a_routed) r ON f.case_id = r.case_id
-GROUP BY f.series_id"""),
+SELECT s.series_id, s.n AS n_scanned, coalesce(r.n, 0) AS n_routed, coalesce(r.u, 0) AS n_unique
+FROM (SELECT series_id, count(*) AS n FROM a_f GROUP BY series_id) s
+LEFT JOIN (SELECT series_id, count(*) AS n, count(DISTINCT case_id) AS u FROM a_routed GROUP BY series_id) r USING (series_id)"""),
     # series
     "missing_days": with_(CASES, A_CNT, body="""
 SELECT c.series_id, c.ds FROM (

@@ -29,10 +29,10 @@ from . import intake
 class TimeParams:
     """Backtest and hold-out windows on the driver tables (our dates, the original's shape)."""
 
-    cv_start: str = "1996-01-01"
-    cv_end: str = "2001-04-30"
-    test_start: str = "2001-05-01"
-    test_end: str = "2001-06-30"
+    cv_start: str = "1996-02-05"
+    cv_end: str = "2001-03-25"
+    test_start: str = "2001-03-26"
+    test_end: str = "2001-06-10"
     validation_days: int = 90
     roll_train: int = 730
     roll_horizon: int = 60

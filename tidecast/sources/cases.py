@@ -53,9 +53,11 @@ def orders_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attach_segment(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
-    """Series key (the customer's market segment) for rows carrying ``_custkey``."""
+    """Series key (the customer's market segment) for rows carrying ``_custkey``; every row is
+    kept, in series ``unknown`` where its customer is missing."""
     seg = _segments(spark, sf_dir)
-    return df.join(seg, df._custkey == seg.c_custkey, "inner").drop("c_custkey", "_custkey")
+    keyed = df.join(seg, df._custkey == seg.c_custkey, "left").drop("c_custkey", "_custkey")
+    return keyed.withColumn("series_id", F.coalesce("series_id", F.lit("unknown")))
 
 
 def cases_a_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +74,9 @@ def cases_b_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Fact-to-dimension order: lineitem ⋈ orders, then ⋈ customer. Joining the two dimensions
     # first leaves a join output with no size estimate, and the planner would pick lineitem as
     # the side to build; this way each step has a plain scan as its candidate build side.
-    keyed = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-    return keyed.join(_segments(spark, sf_dir), keyed.o_custkey == F.col("c_custkey"), "inner").select(
-        "series_id",
+    keyed = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    return keyed.join(_segments(spark, sf_dir), keyed.o_custkey == F.col("c_custkey"), "left").select(
+        F.coalesce("series_id", F.lit("unknown")).alias("series_id"),
         F.col("l_orderkey").alias("casenumber"),
         F.col("l_shipdate").cast("string").alias("crm_receipt_date__c"),
         F.col("l_returnflag").alias("crm_department__c"),

@@ -10,19 +10,8 @@ TABLES = (
 ).split()
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy scan; Catalyst prunes columns and pushes filters into it.
-
-    The scan DataFrame is reused within a session (a plan, not data), which saves the file
-    listing and footer reads when one query refers to a table several times.
-    """
+    """Lazy scan of the table's present files; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
