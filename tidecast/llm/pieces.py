@@ -28,9 +28,10 @@ def piece_hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
 class PieceTable:
     """Encodings of pieces by hash: lengths, and the ids in one flat array."""
 
-    def __init__(self, encode: Callable[[list[str]], list], keep_ids: bool):
+    def __init__(self, encode: Callable[[list[str]], list], keep_ids: bool, remember: int = REMEMBERED):
         self.encode = encode
         self.keep_ids = keep_ids
+        self.remember = remember
         self._clear()
 
     def _clear(self) -> None:
@@ -48,7 +49,7 @@ class PieceTable:
     def look_up(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Index of every piece of ``data``; new ones are encoded together."""
         distinct, first, inverse = np.unique(piece_hashes(data, begin), return_index=True, return_inverse=True)
-        if len(self.at) + len(distinct) > REMEMBERED:
+        if len(self.at) + len(distinct) > self.remember:
             self._clear()
         keys = distinct.tolist()
         found = [self.at.get(k, -1) for k in keys]

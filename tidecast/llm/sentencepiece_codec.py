@@ -34,7 +34,7 @@ SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 #: Chunk matrices combined by one task; texts of 2 GB have at most 256 such blocks.
 BLOCK = 256
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 #: A boundary state: how many characters the token reaches beyond the boundary, and the token.
 State = tuple[int, str]
@@ -106,7 +106,7 @@ class Model:
         found = self.lib.encode([w[1:] if b else "\n" + w for w, b in zip(words, bare, strict=True)], num_threads=1)
         return [x if b else x[2:] for x, b in zip(found, bare, strict=True)]
 
-    @lru_cache(maxsize=1 << 18)  # noqa: B019  one model lives as long as its worker
+    @lru_cache(maxsize=1 << 16)  # noqa: B019  one model lives as long as its worker
     def allowed(self, left: str, right: str) -> bool:
         """Whether the merges of BPE leave ``left`` (may be empty) and ``right`` as they are, side by side."""
         parts = list(left + right)
@@ -340,7 +340,7 @@ def encode_udf(path: str, chunk: int):
         import pyarrow.compute as pc
 
         model = model_of(path)
-        pieces = PieceTable(model.encode_words, keep_ids=True)
+        pieces = PieceTable(model.encode_words, keep_ids=True, remember=200_000)
         for column in batches:
             column = column.fill_null("")
             giant = pc.greater(pc.utf8_length(column), chunk)
