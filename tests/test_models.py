@@ -116,3 +116,81 @@ def test_trend_weekday_rows_equals_joined_form(spark):
     assert len(a) == len(b) == 2 * 2 * 20 * 2
     assert (a.fcst.to_numpy() == b.fcst.to_numpy()).all()  # bit-identical forecasts
     assert np.allclose(a.lo, b.lo) and np.allclose(a.hi, b.hi)
+
+
+SHORT = (0, 1, 5, 9, 27, 120)
+
+
+def short_rows(spark, n_test=4):
+    """One series per length of its training part; a week's pattern and the calendar columns."""
+    rows = []
+    for n in SHORT:
+        for i in range(n + n_test):
+            d = D(2022, 1, 3) + dt.timedelta(days=i)
+            role, y = ("train", 50.0 + 3 * d.weekday()) if i < n else ("test", 50.0 + 3 * d.weekday())
+            rows.append((f"s{n:03d}", d, y, role, 0, 0, d.weekday(), d.timetuple().tm_yday))
+    return spark.createDataFrame(rows, "series_id string, ds date, y double, role string, is_ph int, is_ph_lag1 int, "
+                                       "wday int, yearday int")
+
+
+def check_short(out):
+    """Every test row of every series is there; a null forecast only where nothing was trained on."""
+    assert out.groupby("series_id").size().to_dict() == {f"s{n:03d}": 4 for n in SHORT}
+    for sid, part in out.groupby("series_id"):
+        n = int(sid[1:])
+        assert (part.n_train == n).all()
+        assert part.fcst.isna().all() == (n == 0) and part.fcst.notna().all() == (n > 0), sid
+        assert (part.status == "no_train").all() == (n == 0)
+
+
+def test_short_series_keep_their_test_rows(spark):
+    rows = short_rows(spark)
+    ax = arx.forecast_arx(arx.with_lags(rows), ["series_id"]).toPandas()
+    check_short(ax)
+    assert set(ax[ax.series_id == "s120"].status) == {"fitted"} and set(ax[ax.series_id == "s005"].status) == {"mean"}
+    assert (ax[ax.series_id == "s120"].fcst - ax[ax.series_id == "s120"].actual).abs().max() < 1e-3
+    check_short(structural.forecast_structural(rows, [{"param_id": 1}], ["series_id"]).toPandas())
+    p = {"learning_rate": 0.25, "max_depth": 2, "num_leaves": 3, "min_data_in_leaf": 10, "num_iterations": 20, "param_id": 1}
+    check_short(boost.forecast_boost(rows, [p], ["series_id"], features=["wday", "yearday"]).toPandas())
+
+
+def test_components_recombine_to_the_forecast(spark):
+    ds, y = series_rows(400)
+    rows = split_frame(spark, ds, y * (1 + 0.3 * np.sin(np.arange(400) / 20)))
+    hol = spark.createDataFrame([(D(2021, 5, 1), "Labour Day", 0), (D(2022, 1, 10), "Labour Day", 0)],
+                                "ds date, holiday string, offset int")
+    for mode in ("additive", "multiplicative"):
+        spec = structural.StructuralSpec(mode=mode)
+        p = {"changepoint_prior_scale": 0.05, "param_id": 1}
+        fc = structural.forecast_structural(rows, [p], ["series_id"], spec, hol).toPandas().set_index("ds").fcst
+        parts = structural.components(rows, p, ["series_id"], spec, hol).toPandas().pivot(index="ds", columns="component", values="value")
+        effect = parts.drop(columns="trend").sum(axis=1)
+        fit = parts.trend + effect if mode == "additive" else parts.trend * (1 + effect)
+        assert np.allclose(fit.loc[fc.index], fc, rtol=1e-9), mode
+
+
+def test_structural_fits_only_the_chosen_set(spark):
+    ds, y = series_rows(200)
+    rows = split_frame(spark, ds, y)
+    grid = [{"changepoint_prior_scale": 0.01, "param_id": 1}, {"changepoint_prior_scale": 0.5, "param_id": 2}]
+    every = structural.forecast_structural(rows, grid, ["series_id"]).where("param_id = 2").orderBy("ds").toPandas()
+    one = structural.forecast_structural(rows.withColumn("best", F.lit(2)), grid, ["series_id"], chosen="best").orderBy("ds").toPandas()
+    assert every.equals(one)
+    first = structural.forecast_structural(rows.withColumn("best", F.lit(None).cast("int")), grid, ["series_id"], chosen="best")
+    assert {r.param_id for r in first.collect()} == {1}
+
+
+def test_global_trees_take_any_number_of_series(spark):
+    ds, y = series_rows(40)
+    base = spark.createDataFrame([(f"s{k:03d}", d, int(v) + 100 * k) for k in range(70) for d, v in zip(ds, y)],
+                                 "series_id string, ds date, y bigint")
+    hol = spark.createDataFrame([(D(2021, 1, 20), "Labour Day", 1)], "ds date, holiday string, is_ph int")
+    ff = features.feature_frame(base, hol)
+    p = {"max_depth": 2, "min_data_in_leaf": 5, "learning_rate": 0.25, "num_leaves": 3, "num_iterations": 3}
+    out = gbt.fit_predict(ff.where(F.col("ds") < D(2021, 2, 1)), ff.where(F.col("ds") >= D(2021, 2, 1)), p)
+    assert out.count() == 70 * 9
+    try:
+        gbt.fit_predict(ff, ff, dict(p, learning_rate=1.5))
+    except ValueError:
+        return
+    raise AssertionError("a learning rate above 1 must be refused")

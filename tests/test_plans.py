@@ -66,3 +66,17 @@ def test_dedupe_is_deterministic_under_skew(spark):
     r = out.where(F.col("case_id") == 1).first()
     assert (r.receipt_date, r.series_id) == (d, "s0")
     assert "partial_min" in plan(out)  # folded map-side before the shuffle
+
+
+def test_lineitem_is_read_once_and_only_for_the_days_needed(spark):
+    p = plan(intake.b_daily_both(spark, SF))
+    scan = [line for line in p.split("\n") if "lineitem.parquet" in line]
+    assert len(scan) == 1
+    assert "GreaterThanOrEqual(l_shipdate" in scan[0].split("PushedFilters")[1]
+    assert "lineitem.parquet" not in plan(intake.intake_series(spark, SF))
+
+
+def test_backtests_fit_each_group_once(spark):
+    # the fold forecasts are written; scores, pooled scores and the choice read them
+    for name in ("backtest", "model_scoreboard"):
+        assert "FlatMapGroupsInPandas" not in plan(catalog.QUERIES[name](spark, SF)), name

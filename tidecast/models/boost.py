@@ -113,27 +113,30 @@ def boost_fit_predict(X: np.ndarray, y: np.ndarray, X_new: np.ndarray, p: dict)
 
 def forecast_boost(rows: DataFrame, grid: list[dict], keys: list[str], features=FEATURE_COLUMNS) -> DataFrame:
     """``rows``: ``keys…, ds, y, role`` and the feature columns. For every group and parameter
-    set: fit on train rows, predict test rows → ``keys…, param_id, ds, actual, fcst``."""
+    set: fit on train rows, predict test rows → ``keys…, param_id, ds, actual, fcst, status,
+    n_train``. Every test row comes out; a group without training rows has null forecasts and
+    status ``no_train``, one too small to split predicts its mean."""
     feats = list(features)
     x = rows.select(*keys, "ds", F.col("y").cast("double").alias("y"), "role",
                     *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in feats])
     key_types = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name in keys}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", param_id int, ds date, actual double, fcst double"
+    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", param_id int, ds date, actual double, fcst double, status string, n_train int"
     grid = [dict(g) for g in grid]
-    cols = keys + ["param_id", "ds", "actual", "fcst"]
+    cols = keys + ["param_id", "ds", "actual", "fcst", "status", "n_train"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds").reset_index(drop=True)
         tr = pdf[(pdf["role"] == "train") & pdf["y"].notna()]
         te = pdf[pdf["role"] == "test"]
-        if len(tr) < 2 or len(te) == 0:
+        if len(te) == 0:
             return pd.DataFrame(columns=cols)
         X, y, Xn = tr[feats].to_numpy(float), tr["y"].to_numpy(float), te[feats].to_numpy(float)
         out = []
         for p in grid:
-            fc = boost_fit_predict(X, y, Xn, p)
+            fc = boost_fit_predict(X, y, Xn, p) if len(tr) else np.full(len(te), np.nan)
             part = pd.DataFrame({"param_id": int(p["param_id"]), "ds": te["ds"].to_numpy(),
-                                 "actual": te["y"].to_numpy(float), "fcst": fc})
+                                 "actual": te["y"].to_numpy(float), "fcst": fc,
+                                 "status": "fitted" if len(tr) else "no_train", "n_train": len(tr)})
             for k in keys:
                 part[k] = pdf[k].iloc[0]
             out.append(part)

@@ -73,75 +73,95 @@ def season_matrix(t_days: np.ndarray, spec: StructuralSpec) -> np.ndarray:
     return np.column_stack(cols) if cols else np.zeros((len(t_days), 0))
 
 
-def _design(pdf: pd.DataFrame, spec: StructuralSpec, hol_cols: list[str], train_mask: np.ndarray):
+@dataclass
+class _Group:
+    """One group's rows in day order, as matrices."""
+
+    frame: pd.DataFrame
+    train: np.ndarray
+    test: np.ndarray
+    y: np.ndarray
+    scale: float
+    trend: np.ndarray
+    effects: np.ndarray  # seasonal columns, then holiday columns
+    n_season: int
+
+
+def _group(pdf: pd.DataFrame, spec: StructuralSpec, hol_cols: list[str]) -> _Group:
+    pdf = pdf.sort_values("ds").reset_index(drop=True)
+    y = pdf["y"].to_numpy(dtype=float)
+    train = (pdf["role"] == "train").to_numpy() & ~np.isnan(y)
     t_days = pdf["t"].to_numpy(dtype=float)
-    t0, t1 = t_days[train_mask].min(), t_days[train_mask].max()
-    scale = max(t1 - t0, 1.0)
-    ts = (t_days - t0) / scale
-    n_cp = spec.n_changepoints if train_mask.sum() > spec.n_changepoints + 2 else 0
-    cps = np.linspace(0, spec.changepoint_range, n_cp + 1)[1:] if n_cp else np.zeros(0)
-    hinge = np.maximum(0.0, ts[:, None] - cps[None, :])
-    trend = np.column_stack([np.ones_like(ts), ts, hinge])
+    known = t_days[train] if train.any() else t_days
+    ts = (t_days - known.min()) / max(known.max() - known.min(), 1.0)
+    # the priors hold the hinges down where days are few, so the design is the same at every length
+    cps = np.linspace(0, spec.changepoint_range, spec.n_changepoints + 1)[1:]
+    trend = np.column_stack([np.ones_like(ts), ts, np.maximum(0.0, ts[:, None] - cps[None, :])])
     season = season_matrix(t_days, spec)
     hol = pdf[hol_cols].to_numpy(dtype=float) if hol_cols else np.zeros((len(pdf), 0))
-    return trend, season, hol
+    scale = max(np.abs(y[train]).max(), 1e-9) if train.any() else 1.0
+    return _Group(pdf, train, (pdf["role"] == "test").to_numpy(), y, scale, trend, np.column_stack([season, hol]), season.shape[1])
 
 
-def fit_predict_group(pdf: pd.DataFrame, grid: list[dict], spec: StructuralSpec, hol_cols: list[str],
-                      key_cols: list[str]) -> pd.DataFrame:
-    """One group: rows with ``role`` train/test (test rows may have null ``y``)."""
-    pdf = pdf.sort_values("ds").reset_index(drop=True)
-    train = (pdf["role"] == "train").to_numpy() & pdf["y"].notna().to_numpy()
-    test = (pdf["role"] == "test").to_numpy()
-    if train.sum() < 3 or test.sum() == 0:
-        return pd.DataFrame(columns=key_cols + ["param_id", "ds", "actual", "fcst", "lo", "hi"])
-    trend, season, hol = _design(pdf, spec, hol_cols, train)
-    y = pdf["y"].to_numpy(dtype=float)
-    y_scale = max(np.abs(y[train]).max(), 1e-9)
-    ys = np.where(train, y / y_scale, 0.0)
-    X = np.column_stack([trend, season, hol])
-    nt, ns, nh = trend.shape[1], season.shape[1], hol.shape[1]
-    Xtr = X[train]
-    gram = Xtr.T @ Xtr
-    rhs = Xtr.T @ ys[train]
+def _solve(g: _Group, grid: list[dict], spec: StructuralSpec):
+    """Per parameter set: (set, trend in units of y, coefficients of the effect columns).
+
+    The fit is trend + effects (additive, coefficients in units of y) or trend · (1 + effects).
+    """
+    nt, ne = g.trend.shape[1], g.effects.shape[1]
+    T, E, ys = g.trend[g.train], g.effects[g.train], g.y[g.train] / g.scale
+    X = np.column_stack([T, E])
+    gram, rhs = X.T @ X, X.T @ ys  # shared by every parameter set
     # pass 1: weak priors → noise variance
-    beta0 = _ridge(gram, rhs, np.full(X.shape[1], 1.0 / WEAK_PRIOR ** 2))
-    sigma2 = max(float(np.mean((ys[train] - Xtr @ beta0) ** 2)), 1e-8)
-    out = []
-    keys = {c: pdf[c].iloc[0] for c in key_cols}
-    Tm, Sm = X[:, :nt], X[:, nt:]
-    Ttr, Str = Tm[train], Sm[train]
-    g_t, g_s = Ttr.T @ Ttr, Str.T @ Str  # shared by every parameter set
+    weak = _ridge(gram, rhs, np.full(nt + ne, 1.0 / WEAK_PRIOR ** 2))
+    sigma2 = max(float(np.mean((ys - X @ weak) ** 2)), 1e-8)
     for p in grid:
-        cps = float(p.get("changepoint_prior_scale", 0.05))
-        sps = float(p.get("seasonality_prior_scale", SEASONALITY_PRIOR))
-        hps = float(p.get("holidays_prior_scale", 10.0))
-        prior = np.concatenate([[TREND_PRIOR, TREND_PRIOR], np.full(nt - 2, cps), np.full(ns, sps), np.full(nh, hps)])
+        prior = np.concatenate([[TREND_PRIOR, TREND_PRIOR], np.full(nt - 2, float(p.get("changepoint_prior_scale", 0.05))),
+                                np.full(g.n_season, float(p.get("seasonality_prior_scale", SEASONALITY_PRIOR))),
+                                np.full(ne - g.n_season, float(p.get("holidays_prior_scale", 10.0)))])
         pen = sigma2 / prior ** 2
         if spec.mode == "additive":
             beta = _ridge(gram, rhs, pen)
-            fit = X @ beta
-        else:
-            bt = _ridge(g_t, Ttr.T @ ys[train], pen[:nt])
-            bs = np.zeros(ns + nh)
-            for _ in range(ROUNDS):
-                tr_fit = np.maximum(Tm @ bt, 1e-6)
-                ratio = ys / tr_fit - 1.0
-                if ns + nh:
-                    bs = _ridge(g_s, Str.T @ ratio[train], pen[nt:] / np.mean(tr_fit[train]) ** 2)
-                mult = 1.0 + Sm @ bs
-                target = ys / np.where(np.abs(mult) < 1e-6, 1e-6, mult)
-                bt = _ridge(g_t, Ttr.T @ target[train], pen[:nt])
-            fit = np.maximum(Tm @ bt, 1e-6) * (1.0 + Sm @ bs)
-        fc = fit * y_scale
-        resid = y[train] - fc[train]
-        q_lo, q_hi = np.quantile(resid, [(1 - INTERVAL_WIDTH) / 2, 1 - (1 - INTERVAL_WIDTH) / 2])
-        part = pd.DataFrame({"param_id": int(p["param_id"]), "ds": pdf.loc[test, "ds"].to_numpy(),
-                             "actual": y[test], "fcst": fc[test], "lo": fc[test] + q_lo, "hi": fc[test] + q_hi})
-        for c, v in keys.items():
-            part[c] = v
-        out.append(part)
-    return pd.concat(out, ignore_index=True)[key_cols + ["param_id", "ds", "actual", "fcst", "lo", "hi"]]
+            yield p, g.trend @ beta[:nt] * g.scale, beta[nt:] * g.scale
+            continue
+        bt, be = _ridge(gram[:nt, :nt], rhs[:nt], pen[:nt]), np.zeros(ne)
+        for _ in range(ROUNDS):
+            level = np.maximum(T @ bt, 1e-6)
+            if ne:
+                be = _ridge(gram[nt:, nt:], E.T @ (ys / level - 1.0), pen[nt:] / np.mean(level) ** 2)
+            mult = 1.0 + E @ be
+            bt = _ridge(gram[:nt, :nt], T.T @ (ys / np.where(np.abs(mult) < 1e-6, 1e-6, mult)), pen[:nt])
+        yield p, np.maximum(g.trend @ bt, 1e-6) * g.scale, be
+
+
+OUT = ["param_id", "ds", "actual", "fcst", "lo", "hi", "status", "n_train"]
+
+
+def fit_predict_group(pdf: pd.DataFrame, grid: list[dict], spec: StructuralSpec, hol_cols: list[str],
+                      key_cols: list[str]) -> pd.DataFrame:
+    """One group: rows with ``role`` train/test (test rows may have null ``y``). Every test row
+    comes out; without training rows its forecast is null and its status ``no_train``."""
+    g = _group(pdf, spec, hol_cols)
+    if not g.test.any():
+        return pd.DataFrame(columns=key_cols + OUT)
+    n_train, none = int(g.train.sum()), np.full(len(g.y), np.nan)
+    fits = _solve(g, grid, spec) if n_train else ((p, none, np.zeros(g.effects.shape[1])) for p in grid)
+    out = []
+    for p, trend, be in fits:
+        effect = g.effects @ be
+        fc = trend + effect if spec.mode == "additive" else trend * (1.0 + effect)
+        q_lo, q_hi = np.nan, np.nan
+        if n_train:
+            resid = g.y[g.train] - fc[g.train]
+            q_lo, q_hi = np.quantile(resid, [(1 - INTERVAL_WIDTH) / 2, 1 - (1 - INTERVAL_WIDTH) / 2])
+        f = fc[g.test]
+        out.append(pd.DataFrame({"param_id": int(p["param_id"]), "ds": g.frame.loc[g.test, "ds"].to_numpy(),
+                                 "actual": g.y[g.test], "fcst": f, "lo": f + q_lo, "hi": f + q_hi,
+                                 "status": "fitted" if n_train else "no_train", "n_train": n_train}))
+    res = pd.concat(out, ignore_index=True)
+    for c in key_cols:
+        res[c] = pdf[c].iloc[0]
+    return res[key_cols + OUT]
 
 
 def holiday_indicators(df: DataFrame, windows: DataFrame | None) -> tuple[DataFrame, list[str]]:
@@ -159,72 +179,67 @@ def holiday_indicators(df: DataFrame, windows: DataFrame | None) -> tuple[DataFr
     return out, cols
 
 
-def forecast_structural(rows: DataFrame, grid: list[dict], keys: list[str], spec: StructuralSpec = StructuralSpec(),
-                        windows: DataFrame | None = None) -> DataFrame:
-    """Fit every parameter set per ``keys`` group on rows tagged ``role`` train/test.
-
-    ``rows``: ``keys…, ds, y, role``. Returns ``keys…, param_id, ds, actual, fcst, lo, hi``.
-    """
+def _model_rows(rows: DataFrame, keys: list[str], windows: DataFrame | None, *more: str) -> tuple[DataFrame, list[str]]:
     # Only the day index crosses into Python; the sin/cos terms are rebuilt from it inside the
     # group (shipping 2·Σorder doubles per fold-expanded row would dominate the cost).
     x = rows.withColumn("t", F.datediff("ds", F.lit("1970-01-01").cast("date")))
     x, hol_cols = holiday_indicators(x, windows)
-    x = x.withColumn("y", F.col("y").cast("double"))
-    x = x.select(*keys, "ds", "y", "role", "t", *hol_cols)
-    key_types = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name in keys}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + \
-        ", param_id int, ds date, actual double, fcst double, lo double, hi double"
+    x = x.select(*keys, *more, "ds", F.col("y").cast("double").alias("y"), "role", "t", *hol_cols)
+    return spread_groups(x, keys), hol_cols
+
+
+def _key_schema(rows: DataFrame, keys: list[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name in keys}
+    return ", ".join(f"{k} {types[k]}" for k in keys)
+
+
+def forecast_structural(rows: DataFrame, grid: list[dict], keys: list[str], spec: StructuralSpec = StructuralSpec(),
+                        windows: DataFrame | None = None, chosen: str | None = None) -> DataFrame:
+    """Fit every parameter set per ``keys`` group on rows tagged ``role`` train/test.
+
+    ``rows``: ``keys…, ds, y, role``. ``chosen`` names a column with the one ``param_id`` to fit
+    in each group (null: the first). Returns ``keys…, param_id, ds, actual, fcst, lo, hi, status,
+    n_train``, one row per test row and set.
+    """
+    x, hol_cols = _model_rows(rows, keys, windows, *([chosen] if chosen else []))
+    schema = _key_schema(rows, keys) + \
+        ", param_id int, ds date, actual double, fcst double, lo double, hi double, status string, n_train int"
     grid = [dict(g) for g in grid]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fit_predict_group(pdf, grid, spec, hol_cols, keys)
+        mine = grid
+        if chosen:
+            mine = [g for g in grid if g["param_id"] == pdf[chosen].iloc[0]] or grid[:1]
+        return fit_predict_group(pdf, mine, spec, hol_cols, keys)
 
-    return spread_groups(x, keys).groupBy(*keys).applyInPandas(run, schema)
+    return x.groupBy(*keys).applyInPandas(run, schema)
 
 
 def components(rows: DataFrame, params: dict, keys: list[str], spec: StructuralSpec = StructuralSpec(),
                windows: DataFrame | None = None) -> DataFrame:
-    """Per day: trend, each seasonality and the holiday effect of one fitted model (additive
-    contributions in units of ``y``; multiplicative ones as a share of the trend)."""
-    # Only the day index crosses into Python; the sin/cos terms are rebuilt from it inside the
-    # group (shipping 2·Σorder doubles per fold-expanded row would dominate the cost).
-    x = rows.withColumn("t", F.datediff("ds", F.lit("1970-01-01").cast("date")))
-    x, hol_cols = holiday_indicators(x, windows)
-    x = x.withColumn("y", F.col("y").cast("double"))
-    x = x.select(*keys, "ds", "y", "role", "t", *hol_cols)
-    key_types = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name in keys}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", ds date, component string, value double"
-    groups = [name for name, _, _ in spec.seasonalities]
+    """Per day: trend, each seasonality and the holiday effect of the model that forecasts
+    (additive: all in units of ``y``, their sum is the fit; multiplicative: effects as a share of
+    the trend, the fit is trend · (1 + their sum)). Null values where a group has no training row."""
+    x, hol_cols = _model_rows(rows, keys, windows)
+    schema = _key_schema(rows, keys) + ", ds date, component string, value double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds").reset_index(drop=True)
-        train = (pdf["role"] == "train").to_numpy() & pdf["y"].notna().to_numpy()
-        if train.sum() < 3:
-            return pd.DataFrame(columns=keys + ["ds", "component", "value"])
-        trend, season, hol = _design(pdf, spec, hol_cols, train)
-        y = pdf["y"].to_numpy(dtype=float)
-        y_scale = max(np.abs(y[train]).max(), 1e-9)
-        X = np.column_stack([trend, season, hol])
-        Xtr = X[train]
-        nt, ns = trend.shape[1], season.shape[1]
-        b0 = _ridge(Xtr.T @ Xtr, Xtr.T @ (y[train] / y_scale), np.full(X.shape[1], 1.0 / WEAK_PRIOR ** 2))
-        sigma2 = max(float(np.mean((y[train] / y_scale - Xtr @ b0) ** 2)), 1e-8)
-        prior = np.concatenate([[TREND_PRIOR, TREND_PRIOR], np.full(nt - 2, params.get("changepoint_prior_scale", 0.05)),
-                                np.full(ns, params.get("seasonality_prior_scale", SEASONALITY_PRIOR)),
-                                np.full(X.shape[1] - nt - ns, params.get("holidays_prior_scale", 10.0))])
-        beta = _ridge(Xtr.T @ Xtr, Xtr.T @ (y[train] / y_scale), sigma2 / prior ** 2)
-        parts = {"trend": trend @ beta[:nt] * y_scale}
-        names = [g for g, _ in spec.season_columns()]
-        for g in groups:
-            idx = [nt + i for i, n in enumerate(names) if n == g]
-            parts[g] = X[:, idx] @ beta[idx] * y_scale
-        parts["holidays"] = X[:, nt + ns:] @ beta[nt + ns:] * y_scale
-        frames = []
-        for comp, val in parts.items():
-            f = pd.DataFrame({"ds": pdf["ds"].to_numpy(), "component": comp, "value": val})
-            for k in keys:
-                f[k] = pdf[k].iloc[0]
-            frames.append(f)
-        return pd.concat(frames, ignore_index=True)[keys + ["ds", "component", "value"]]
-
-    return spread_groups(x, keys).groupBy(*keys).applyInPandas(run, schema)
+        g = _group(pdf, spec, hol_cols)
+        ns, ne = g.n_season, g.effects.shape[1]
+        if g.train.any():
+            _, trend, be = next(_solve(g, [params], spec))
+        else:
+            trend, be = np.full(len(g.y), np.nan), np.full(ne, np.nan)
+        names = [name for name, _ in spec.season_columns()]
+        parts = {"trend": trend}
+        for season, _, _ in spec.seasonalities:
+            at = [i for i, n in enumerate(names) if n == season]
+            parts[season] = g.effects[:, at] @ be[at]
+        parts["holidays"] = g.effects[:, ns:] @ be[ns:]
+        out = pd.concat([pd.DataFrame({"ds": g.frame["ds"].to_numpy(), "component": c, "value": v}) for c, v in parts.items()],
+                        ignore_index=True)
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[keys + ["ds", "component", "value"]]
+
+    return x.groupBy(*keys).applyInPandas(run, schema)

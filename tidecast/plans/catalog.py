@@ -16,7 +16,7 @@ from ..functions.holidays import clean_holiday_name, holiday_code
 from ..functions.numeric import floor_zero, round_half_even
 from ..models.trend_weekday import trend_weekday, trend_weekday_rows
 from ..operators import counting, features, filters, folds, scoring, series
-from ..session import scratch_path, ship_package
+from ..session import cut_lineage, scratch_path, ship_package
 from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
 from ..sources.sinks import write_series
 from ..sources.tables import read_table
@@ -537,6 +537,10 @@ LIVE_TREE = {"max_depth": 2, "min_data_in_leaf": 10, "learning_rate": 0.25, "obj
 # ---------------------------------------------------------------------------------------------
 
 
+#: Sets that the tree backtest compares: the live one, and a deeper one of fewer rounds.
+TREE_SETS = [dict(LIVE_TREE, param_id=1), dict(LIVE_TREE, max_depth=3, num_leaves=5, num_iterations=100, param_id=2)]
+
+
 def _structural_grid():
     import itertools
     keys = list(STRUCTURAL_GRID)
@@ -599,11 +603,10 @@ def q_forecast_gbt_global(spark, sf):
 @register("backtest_gbt")
 def q_backtest_gbt(spark, sf):
     """Tree grid over rolling folds: mean fold KPI per series and set (no scored fold → inf),
-    lowest chosen."""
+    lowest chosen. Each fold and set is fitted once."""
     ff = testbed.cv_slice(features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf)))
     rows = folds.expand_rolling(ff, T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.roll_step)
-    grid = [dict(LIVE_TREE, param_id=1)]
-    fc = boost.forecast_boost(rows, grid, [S, "fold"])
+    fc = cut_lineage(boost.forecast_boost(rows, TREE_SETS, [S, "fold"]))
     per_fold = scoring.metric_table(fc, [S, "param_id", "fold"])
     mean = scoring.cv_mean(per_fold, [S, "param_id"], "wkpi")
     best = scoring.best_params(mean, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
@@ -631,7 +634,7 @@ def q_ensemble_forecast(spark, sf):
 
 @register("model_scoreboard")
 def q_model_scoreboard(spark, sf):
-    fc = _model_forecasts(spark, sf)
+    fc = cut_lineage(_model_forecasts(spark, sf))  # each model fitted once
     raw = scoring.metric_table(fc, [S, "model"])
     rounded = scoring.single_metric(fc.withColumn("fcst", round_half_even("fcst")), [S, "model"], "wkpi")
     return raw.join(rounded.withColumnRenamed("wkpi", "wkpi_rounded"), [S, "model"])
@@ -646,8 +649,8 @@ def _backtest_rows(spark, sf):
 def q_backtest(spark, sf):
     """Structural model over rolling folds × grid → per series and parameter set: mean of
     fold scores, pooled score and fold count, plus the chosen set."""
-    fc = structural.forecast_structural(_backtest_rows(spark, sf).select(S, "fold", "ds", "y", "role"),
-                                        _structural_grid(), [S, "fold"], windows=_windows(spark, sf))
+    fc = cut_lineage(structural.forecast_structural(_backtest_rows(spark, sf).select(S, "fold", "ds", "y", "role"),
+                                                    _structural_grid(), [S, "fold"], windows=_windows(spark, sf)))
     per_fold = scoring.metric_table(fc, [S, "param_id", "fold"])
     mean = scoring.cv_mean(per_fold, [S, "param_id"], "wkpi")
     pooled = scoring.cv_pooled(fc, [S, "param_id"])
@@ -665,7 +668,7 @@ def q_backtest_cutoff(spark, sf):
     x = testbed.cv_slice(testbed.modelling_series(spark, sf))
     rows = folds.fold_expand(x, folds.folds_cutoff(_bounds(spark, sf), T.cutoff_horizon)).select(
         S, "fold", "ds", "y", "role")
-    fc = structural.forecast_structural(rows, _structural_grid(), [S, "fold"], windows=_windows(spark, sf))
+    fc = cut_lineage(structural.forecast_structural(rows, _structural_grid(), [S, "fold"], windows=_windows(spark, sf)))
     pooled = scoring.cv_pooled(fc, [S, "param_id"])
     best = scoring.best_params(pooled, [S], "cv_pooled_wkpi").select(S, F.col("param_id").alias("_best"))
     out = pooled.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
@@ -678,9 +681,9 @@ def q_tuned_forecast(spark, sf):
     hist = testbed.modelling_series(spark, sf)
     rows = series.extend_horizon(hist, 90, "D").withColumn(
         "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
-    fc = structural.forecast_structural(rows, _structural_grid(), [S], windows=_windows(spark, sf))
-    best = q_backtest(spark, sf).where("is_best").select(S, "param_id")
-    return fc.join(best, [S, "param_id"])
+    best = q_backtest(spark, sf).where("is_best").select(S, F.col("param_id").alias("best"))
+    return structural.forecast_structural(rows.join(best, S, "left"), _structural_grid(), [S], windows=_windows(spark, sf),
+                                          chosen="best")
 
 
 @register("components")
@@ -701,8 +704,8 @@ def q_tune_balance(spark, sf):
         "role", F.when(F.col("split") == "train", "train").otherwise("test"))
     val = structural.forecast_structural(split, grid, [S], spec, windows)
     scores = scoring.metric_table(val, [S, "param_id"]).select(S, "param_id", "mae", "rmse", "mape")
-    best = scoring.best_params(scores, [S], "mae").select(S, "param_id")
+    best = scoring.best_params(scores, [S], "mae").select(S, F.col("param_id").alias("best"))
     rows = series.extend_horizon(bal, series.default_horizon("D"), "D").withColumn(
         "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
-    final = structural.forecast_structural(rows, grid, [S], spec, windows).join(best, [S, "param_id"])
+    final = structural.forecast_structural(rows.join(best, S, "left"), grid, [S], spec, windows, chosen="best")
     return scoring.forecast_with_actuals(final.select(S, "ds", "fcst", "lo", "hi"), bal)

@@ -15,6 +15,7 @@ from ..functions.dates import date_from_text
 from ..operators.counting import date_bounds, daily_count, dedupe_case
 from ..operators.filters import filter_channel, filter_contains, filter_date_from, filter_routing, filter_window
 from ..operators.series import combine_sources, densify_zero, patch_copy, patch_values
+from ..session import cut_lineage
 from ..sources.cases import (attach_segment, cases_a_from_tpch, cases_b_from_tpch, orders_cases,
                              routing_agents_from_tpch)
 
@@ -97,8 +98,8 @@ def _in_patch_ranges(col: str, p: IntakeParams):
 def b_daily_both(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
     """One pass over source B: per (series, day) the rows passing the channel filter and the
     rows inside the patch ranges. Both the B series and the patch table come from it, so the
-    large case table is scanned and joined once."""
-    b = cases_b_from_tpch(spark, sf_dir).withColumn("ds", date_from_text("crm_receipt_date__c"))
+    large case table is scanned and joined once, and only for the days that either needs."""
+    b = cases_b_from_tpch(spark, sf_dir, [p.b_window, *p.patch_ranges]).withColumn("ds", date_from_text("crm_receipt_date__c"))
     chan = (F.col("crm_department__c") == F.lit(p.b_dept)) & (F.col("origin") != F.lit(p.b_excluded_origin))
     return b.groupBy("series_id", "ds").agg(F.count_if(chan).alias("n_channel"),
                                             F.count_if(_in_patch_ranges("ds", p)).alias("n_patch"))
@@ -119,8 +120,9 @@ def patch_table(spark: SparkSession, sf_dir: str, p: IntakeParams = P, both: Dat
 
 
 def intake_series(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
-    """The whole intake flow → ``series_id, ds, y``: one row per series and day."""
-    both = b_daily_both(spark, sf_dir, p)
+    """The whole intake flow → ``series_id, ds, y``: one row per series and day. The daily counts
+    of source B are written once."""
+    both = cut_lineage(b_daily_both(spark, sf_dir, p), "b_daily")  # read twice below
     combined = combine_sources(source_a_daily(spark, sf_dir, p), source_b_daily(spark, sf_dir, p, both))
     patched = patch_values(combined, patch_table(spark, sf_dir, p, both))
     return patch_copy(patched, list(p.patch_rules))

@@ -448,6 +448,7 @@ WHERE NOT EXISTS (SELECT 1 FROM a_cnt WHERE a_cnt.series_id = c.series_id AND a_
     "intake_series": with_(INTAKE, body="SELECT series_id, ds, y FROM intake"),
     # text series
     "parse_grouped_number": with_(BAL, body='SELECT series_id, "Date", y FROM bal_parsed'),
+    "load_series_text": with_(BAL, body="SELECT series_id, ds, y FROM bal_parsed"),
     "drop_nulls": with_(BAL, body="SELECT series_id, ds, y FROM bal_nn"),
     "trim_plateau": with_(BAL, body="SELECT series_id, ds, y FROM bal_trim"),
     "interpolate": with_(BAL, interp_sql("bal_nn", "ip"), body="SELECT series_id, ds, y FROM ip"),
@@ -580,6 +581,8 @@ SELECT f.series_id, f.ds, f.fcst, f.lo, f.hi, CAST(h.y AS DOUBLE) AS y
 FROM fh f LEFT JOIN intake h ON f.series_id = h.series_id AND f.ds = h.ds"""),
 })
 
+SQL["sink_full"] = SQL["forecast_with_actuals"]
+
 for _m in ("mae", "rmse", "mape", "kpi", "wkpi"):
     SQL[f"metric_{_m}"] = with_(INTAKE, CVB, TW_TEST, body=f"""
 SELECT series_id, model, {measures()[_m]} AS {_m} FROM allf GROUP BY 1, 2""")

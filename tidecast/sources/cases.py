@@ -14,6 +14,9 @@ orders → A and lineitem → B, with the customer's market segment as the serie
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +70,17 @@ def cases_a_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "department", "assigned_oic", "receipt_ts", "receipt_date")
 
 
-def cases_b_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem ⋈ orders ⋈ customer → case table B (ship timestamp as text)."""
+def cases_b_from_tpch(spark: SparkSession, sf_dir: str, shipped: list[tuple[str, str]] | None = None) -> DataFrame:
+    """lineitem ⋈ orders ⋈ customer → case table B (ship timestamp as text).
+
+    ``shipped`` limits the rows to first and last days, stated on the raw timestamp so that the
+    Parquet reader gets them.
+    """
     li = read_table(spark, sf_dir, "lineitem")
+    if shipped:
+        day = [(F.to_timestamp(F.lit(lo)), F.to_timestamp(F.date_add(F.lit(hi).cast("date"), 1))) for lo, hi in shipped]
+        inside = [(F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi) for lo, hi in day]
+        li = li.where(reduce(or_, inside))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     # Fact-to-dimension order: lineitem ⋈ orders, then ⋈ customer. Joining the two dimensions
     # first leaves a join output with no size estimate, and the planner would pick lineitem as
