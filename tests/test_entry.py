@@ -19,7 +19,7 @@ def test_every_oracle_has_a_query():
 
 
 @pytest.mark.parametrize("name", ["intake_series", "dedupe_case", "stage_funnel", "interpolate", "resample_week",
-                                  "feature_frame", "folds_cutoff", "blend", "metric_wkpi", "best_params"])
+                                  "feature_frame", "folds_cutoff", "blend", "metric_wkpi", "best_params", "sink_full"])
 def test_oracle_at_sf0001(spark, name):
     con = duckdb.connect()
     for t in TABLES:
