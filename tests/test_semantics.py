@@ -19,9 +19,9 @@ def test_q6_lags_come_from_the_whole_series(spark):
 def test_q20_bounds_from_the_wider_set(spark):
     cases = spark.createDataFrame(
         [("a", 1, D(2024, 1, 1), "x"), ("a", 2, D(2024, 1, 3), "agent"), ("a", 3, D(2024, 1, 6), "x")],
-        "series_id string, case_id bigint, receipt_date date, assigned_oic string")
+        "series_id string, case_id bigint, receipt_date date, handler string")
     bounds = counting.date_bounds(cases, "receipt_date")  # before routing
-    routed = cases.where(F.col("assigned_oic") == "agent")
+    routed = cases.where(F.col("handler") == "agent")
     dense = series.densify_zero(counting.daily_count(routed), bounds).orderBy("ds").toPandas()
     assert dense.ds.min() == D(2024, 1, 1) and dense.ds.max() == D(2024, 1, 6)
     assert dense.y.tolist() == [0, 0, 1, 0, 0, 0]
@@ -44,9 +44,9 @@ def test_q8_pooled_and_fold_mean_differ_and_are_named_apart(spark):
 
 def test_routing_none_is_text_not_null(spark):
     df = spark.createDataFrame([("1", "None", "Desk"), ("2", None, "Desk"), ("3", "None", "Service Centre A")],
-                               "assigned_oic string, department string, frontliner_workbasket string")
-    kept = filters.filter_routing(df, ["9"]).select("assigned_oic").collect()
-    assert [r.assigned_oic for r in kept] == ["1"]
+                               "handler string, department string, queue string")
+    kept = filters.filter_routing(df, ["9"], "None", "Service Centre").select("handler").collect()
+    assert [r.handler for r in kept] == ["1"]
     agents = spark.createDataFrame([("3",), ("3",)], "agent string")  # duplicates must not multiply rows
-    kept2 = sorted(r.assigned_oic for r in filters.filter_routing(df, agents).collect())
+    kept2 = sorted(r.handler for r in filters.filter_routing(df, agents, "None", "Service Centre").collect())
     assert kept2 == ["1", "3"]

@@ -31,9 +31,9 @@ def flag_routing(
     agents: DataFrame,
     dept_value: str,
     exclude_substring: str,
-    agent_col: str = "assigned_oic",
+    agent_col: str = "handler",
     dept_col: str = "department",
-    workbasket_col: str = "frontliner_workbasket",
+    workbasket_col: str = "queue",
 ) -> DataFrame:
     """``df`` with a boolean ``routed``: the predicate of ``filter_routing`` for each row."""
     other = (F.col(dept_col) == F.lit(dept_value)) & ~F.col(workbasket_col).contains(exclude_substring)
@@ -46,15 +46,15 @@ def flag_routing(
 def filter_routing(
     df: DataFrame,
     agents: DataFrame | list[str],
-    dept_value: str = "None",
-    exclude_substring: str = "Service Centre",
-    agent_col: str = "assigned_oic",
+    dept_value: str,
+    exclude_substring: str,
+    agent_col: str = "handler",
     dept_col: str = "department",
-    workbasket_col: str = "frontliner_workbasket",
+    workbasket_col: str = "queue",
 ) -> DataFrame:
     """Keep ``agent ∈ agents`` OR (``dept == dept_value`` AND NOT ``workbasket`` contains …).
 
-    ``dept_value`` is compared as text ("None" is a string, not null). A short Python list
+    ``dept_value`` is compared as text (the string "None" is not null). A short Python list
     becomes ``isin``; a DataFrame routing set (column ``agent``) is de-duplicated and joined
     on the agent, broadcast only behind a size check.
     """
@@ -68,9 +68,9 @@ def filter_routing(
 
 def filter_channel(
     df: DataFrame,
-    dept_value: str = "CCC",
-    excluded_origin: str = "Phone",
-    dept_col: str = "crm_department__c",
+    dept_value: str,
+    excluded_origin: str,
+    dept_col: str = "channel_dept",
     origin_col: str = "origin",
 ) -> DataFrame:
     """``dept == dept_value`` AND ``origin != excluded_origin`` (null origin is dropped)."""

@@ -59,13 +59,13 @@ def q_scan_cases(spark, sf):
 
 @register("scan_cases_b")
 def q_scan_cases_b(spark, sf):
-    return cases_b_from_tpch(spark, sf).select(S, "casenumber", "crm_receipt_date__c")
+    return cases_b_from_tpch(spark, sf).select(S, "case_no", "receipt_text")
 
 
 @register("filter_contains")
 def q_filter_contains(spark, sf):
-    a = filters.filter_contains(cases_a_from_tpch(spark, sf), "frontliner_workbasket", P.workbasket_needle)
-    return a.select(S, "case_id", "frontliner_workbasket")
+    a = filters.filter_contains(cases_a_from_tpch(spark, sf), "queue", P.workbasket_needle)
+    return a.select(S, "case_id", "queue")
 
 
 @register("filter_date_from")
@@ -76,19 +76,19 @@ def q_filter_date_from(spark, sf):
 
 @register("filter_routing")
 def q_filter_routing(spark, sf):
-    return intake.routed_cases(spark, sf).select(S, "case_id", "assigned_oic", "department", "frontliner_workbasket")
+    return intake.routed_cases(spark, sf).select(S, "case_id", "handler", "department", "queue")
 
 
 @register("filter_channel")
 def q_filter_channel(spark, sf):
     b = filters.filter_channel(cases_b_from_tpch(spark, sf), P.b_dept, P.b_excluded_origin)
-    return b.select(S, "casenumber", "crm_department__c", "origin")
+    return b.select(S, "case_no", "channel_dept", "origin")
 
 
 @register("date_from_text")
 def q_date_from_text(spark, sf):
     b = cases_b_from_tpch(spark, sf)
-    return b.select("casenumber", "crm_receipt_date__c", date_from_text("crm_receipt_date__c").alias("receipt_date"))
+    return b.select("case_no", "receipt_text", date_from_text("receipt_text").alias("receipt_date"))
 
 
 @register("flag_child")

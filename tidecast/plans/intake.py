@@ -51,7 +51,7 @@ P = IntakeParams()
 
 def cases_a_filtered(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
     a = cases_a_from_tpch(spark, sf_dir)
-    a = filter_contains(a, "frontliner_workbasket", p.workbasket_needle)
+    a = filter_contains(a, "queue", p.workbasket_needle)
     return filter_date_from(a, "receipt_date", p.date_from, raw_ts_col="receipt_ts")
 
 
@@ -60,7 +60,7 @@ def source_a_bounds(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> Da
 
     Aggregated per customer first (partial aggregation, one row per customer), then joined to
     the customer dimension and reduced per series: the join sees customers, not orders."""
-    raw = filter_contains(orders_cases(spark, sf_dir), "frontliner_workbasket", p.workbasket_needle)
+    raw = filter_contains(orders_cases(spark, sf_dir), "queue", p.workbasket_needle)
     raw = filter_date_from(raw, "receipt_date", p.date_from, raw_ts_col="receipt_ts")
     per_cust = raw.groupBy("_custkey").agg(F.min("receipt_date").alias("start"), F.max("receipt_date").alias("end"))
     keyed = attach_segment(spark, sf_dir, per_cust)
@@ -84,7 +84,7 @@ def source_a_daily(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> Dat
 
 def cases_b_dated(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataFrame:
     b = filter_channel(cases_b_from_tpch(spark, sf_dir), p.b_dept, p.b_excluded_origin)
-    return b.withColumn("receipt_date", date_from_text("crm_receipt_date__c"))
+    return b.withColumn("receipt_date", date_from_text("receipt_text"))
 
 
 def _in_patch_ranges(col: str, p: IntakeParams):
@@ -99,8 +99,8 @@ def b_daily_both(spark: SparkSession, sf_dir: str, p: IntakeParams = P) -> DataF
     """One pass over source B: per (series, day) the rows passing the channel filter and the
     rows inside the patch ranges. Both the B series and the patch table come from it, so the
     large case table is scanned and joined once, and only for the days that either needs."""
-    b = cases_b_from_tpch(spark, sf_dir, [p.b_window, *p.patch_ranges]).withColumn("ds", date_from_text("crm_receipt_date__c"))
-    chan = (F.col("crm_department__c") == F.lit(p.b_dept)) & (F.col("origin") != F.lit(p.b_excluded_origin))
+    b = cases_b_from_tpch(spark, sf_dir, [p.b_window, *p.patch_ranges]).withColumn("ds", date_from_text("receipt_text"))
+    chan = (F.col("channel_dept") == F.lit(p.b_dept)) & (F.col("origin") != F.lit(p.b_excluded_origin))
     return b.groupBy("series_id", "ds").agg(F.count_if(chan).alias("n_channel"),
                                             F.count_if(_in_patch_ranges("ds", p)).alias("n_patch"))
 

@@ -27,28 +27,28 @@ def _rules_values(rules) -> str:
 # Case tables in the reference's roles.
 CASES = f"""
 a_all AS (
-  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, o.o_orderkey AS case_id, o.o_orderpriority AS frontliner_workbasket,
-         coalesce(c.c_mktsegment, 'unknown') AS team_type, o.o_orderstatus AS department, CAST(o.o_custkey AS VARCHAR) AS assigned_oic,
+  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, o.o_orderkey AS case_id, o.o_orderpriority AS queue,
+         coalesce(c.c_mktsegment, 'unknown') AS team_type, o.o_orderstatus AS department, CAST(o.o_custkey AS VARCHAR) AS handler,
          CAST(o.o_orderdate AS DATE) AS receipt_date
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 ),
 a_f AS (
   SELECT * FROM a_all
-  WHERE contains(frontliner_workbasket, '{P.workbasket_needle}') AND receipt_date >= DATE '{P.date_from}'
+  WHERE contains(queue, '{P.workbasket_needle}') AND receipt_date >= DATE '{P.date_from}'
 ),
 agents AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS agent FROM customer WHERE c_acctbal > {P.routing_min_balance}),
 a_routed AS (
   SELECT * FROM a_f
-  WHERE assigned_oic IN (SELECT agent FROM agents)
-     OR (department = '{P.routing_dept}' AND NOT contains(frontliner_workbasket, '{P.routing_exclude}'))
+  WHERE handler IN (SELECT agent FROM agents)
+     OR (department = '{P.routing_dept}' AND NOT contains(queue, '{P.routing_exclude}'))
 ),
 b_all AS (
-  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, l.l_orderkey AS casenumber, CAST(l.l_shipdate AS VARCHAR) AS crm_receipt_date__c,
-         l.l_returnflag AS crm_department__c, l.l_linestatus AS origin,
+  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, l.l_orderkey AS case_no, CAST(l.l_shipdate AS VARCHAR) AS receipt_text,
+         l.l_returnflag AS channel_dept, l.l_linestatus AS origin,
          CAST(try_strptime(substr(CAST(l.l_shipdate AS VARCHAR), 1, 10), '%Y-%m-%d') AS DATE) AS receipt_date
   FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 ),
-b_f AS (SELECT * FROM b_all WHERE crm_department__c = '{P.b_dept}' AND origin <> '{P.b_excluded_origin}')
+b_f AS (SELECT * FROM b_all WHERE channel_dept = '{P.b_dept}' AND origin <> '{P.b_excluded_origin}')
 """
 
 INTAKE = CASES + f""",
@@ -409,14 +409,14 @@ _cps = ", ".join(f"({i}, {v})" for i, v in enumerate([0.01, 0.05, 0.1, 0.2, 0.3,
 SQL: dict[str, str] = {
     # scans and filters
     "scan_cases": with_(CASES, body="SELECT * FROM a_all"),
-    "scan_cases_b": with_(CASES, body="SELECT series_id, casenumber, crm_receipt_date__c FROM b_all"),
-    "filter_contains": with_(CASES, body=f"SELECT series_id, case_id, frontliner_workbasket FROM a_all "
-                                         f"WHERE contains(frontliner_workbasket, '{P.workbasket_needle}')"),
+    "scan_cases_b": with_(CASES, body="SELECT series_id, case_no, receipt_text FROM b_all"),
+    "filter_contains": with_(CASES, body=f"SELECT series_id, case_id, queue FROM a_all "
+                                         f"WHERE contains(queue, '{P.workbasket_needle}')"),
     "filter_date_from": with_(CASES, body=f"SELECT series_id, case_id, receipt_date FROM a_all "
                                           f"WHERE receipt_date >= DATE '{P.date_from}'"),
-    "filter_routing": with_(CASES, body="SELECT series_id, case_id, assigned_oic, department, frontliner_workbasket FROM a_routed"),
-    "filter_channel": with_(CASES, body="SELECT series_id, casenumber, crm_department__c, origin FROM b_f"),
-    "date_from_text": with_(CASES, body="SELECT casenumber, crm_receipt_date__c, receipt_date FROM b_all"),
+    "filter_routing": with_(CASES, body="SELECT series_id, case_id, handler, department, queue FROM a_routed"),
+    "filter_channel": with_(CASES, body="SELECT series_id, case_no, channel_dept, origin FROM b_f"),
+    "date_from_text": with_(CASES, body="SELECT case_no, receipt_text, receipt_date FROM b_all"),
     "flag_child": """
 SELECT CAST(CASE WHEN l_linenumber > 1 THEN 1 ELSE 0 END AS INTEGER) AS is_child, count(*) AS row_count
 FROM lineitem GROUP BY 1""",

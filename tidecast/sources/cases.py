@@ -2,10 +2,10 @@
 
 The engine works on two case-table shapes:
 
-* **A** (history): ``series_id, case_id, frontliner_workbasket, team_type, department,
-  assigned_oic, receipt_ts, receipt_date``.
-* **B** (current system): ``series_id, casenumber, crm_receipt_date__c`` (text whose first 10
-  characters are ``yyyy-MM-dd``), ``crm_department__c, origin``.
+* **A** (history): ``series_id, case_id, queue, team_type, department,
+  handler, receipt_ts, receipt_date``.
+* **B** (current system): ``series_id, case_no, receipt_text`` (text whose first 10
+  characters are ``yyyy-MM-dd``), ``channel_dept, origin``.
 
 ``scan_case_table`` reads a catalog table by name. The ``*_from_tpch`` readers give the same
 shapes from the driver's star schema so every query runs on real, growing tables:
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .tables import read_table
 
 A_COLUMNS = [
-    "series_id", "case_id", "frontliner_workbasket", "team_type", "department",
-    "assigned_oic", "receipt_ts", "receipt_date",
+    "series_id", "case_id", "queue", "team_type", "department",
+    "handler", "receipt_ts", "receipt_date",
 ]
-B_COLUMNS = ["series_id", "casenumber", "crm_receipt_date__c", "crm_department__c", "origin"]
+B_COLUMNS = ["series_id", "case_no", "receipt_text", "channel_dept", "origin"]
 
 
 def scan_case_table(spark: SparkSession, name: str, columns: list[str]) -> DataFrame:
@@ -47,9 +47,9 @@ def orders_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_custkey").alias("_custkey"),
         F.col("o_orderkey").alias("case_id"),
-        F.col("o_orderpriority").alias("frontliner_workbasket"),
+        F.col("o_orderpriority").alias("queue"),
         F.col("o_orderstatus").alias("department"),
-        F.col("o_custkey").cast("string").alias("assigned_oic"),
+        F.col("o_custkey").cast("string").alias("handler"),
         F.col("o_orderdate").alias("receipt_ts"),
         F.to_date("o_orderdate").alias("receipt_date"),
     )
@@ -66,8 +66,8 @@ def attach_segment(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame
 def cases_a_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders ⋈ customer → case table A, one series per market segment."""
     x = attach_segment(spark, sf_dir, orders_cases(spark, sf_dir))
-    return x.select("series_id", "case_id", "frontliner_workbasket", F.col("series_id").alias("team_type"),
-                    "department", "assigned_oic", "receipt_ts", "receipt_date")
+    return x.select("series_id", "case_id", "queue", F.col("series_id").alias("team_type"),
+                    "department", "handler", "receipt_ts", "receipt_date")
 
 
 def cases_b_from_tpch(spark: SparkSession, sf_dir: str, shipped: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -78,7 +78,7 @@ def cases_b_from_tpch(spark: SparkSession, sf_dir: str, shipped: list[tuple[str,
     """
     li = read_table(spark, sf_dir, "lineitem")
     if shipped:
-        day = [(F.to_timestamp(F.lit(lo)), F.to_timestamp(F.date_add(F.lit(hi).cast("date"), 1))) for lo, hi in shipped]
+        day = [(F.lit(lo).cast("timestamp_ntz"), F.date_add(F.lit(hi).cast("date"), 1).cast("timestamp_ntz")) for lo, hi in shipped]
         inside = [(F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi) for lo, hi in day]
         li = li.where(reduce(or_, inside))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -88,9 +88,9 @@ def cases_b_from_tpch(spark: SparkSession, sf_dir: str, shipped: list[tuple[str,
     keyed = li.join(o, li.l_orderkey == o.o_orderkey, "left")
     return keyed.join(_segments(spark, sf_dir), keyed.o_custkey == F.col("c_custkey"), "left").select(
         F.coalesce("series_id", F.lit("unknown")).alias("series_id"),
-        F.col("l_orderkey").alias("casenumber"),
-        F.col("l_shipdate").cast("string").alias("crm_receipt_date__c"),
-        F.col("l_returnflag").alias("crm_department__c"),
+        F.col("l_orderkey").alias("case_no"),
+        F.col("l_shipdate").cast("string").alias("receipt_text"),
+        F.col("l_returnflag").alias("channel_dept"),
         F.col("l_linestatus").alias("origin"),
     )
 
