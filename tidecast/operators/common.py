@@ -7,26 +7,6 @@ from pyspark.sql import functions as F
 
 SERIES = "series_id"
 
-# Rows a user-supplied dimension may hold and still be broadcast to every task.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(dim: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Join side for a dimension whose size is not known when the plan is built.
-
-    With ``max_rows`` the caller vouches for a bound (a rule-built table such as a fold list or
-    a holiday calendar) and the side is hinted for broadcast. Without it nothing is hinted:
-    adaptive execution measures the side at run time and turns the join into a broadcast only
-    when it is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the shuffle
-    join stays. That keeps the size check in Spark, with no extra job while the plan is built.
-    """
-    if max_rows is not None and max_rows <= BROADCAST_MAX_ROWS:
-        return F.broadcast(dim)
-    return dim
-
-
-
-
 def series_window(series: str = SERIES, order: str = "ds") -> Window:
     """One window spec per series ordered by day; every lag shares its sort."""
     return Window.partitionBy(series).orderBy(order)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import day_of_year, weekday0, weekday_name
 from ..functions.holidays import clean_holiday_name, holiday_code
-from .common import SERIES, bounded_broadcast, series_window
+from .common import SERIES, series_window
 
 # Fixed-date holiday rules for the driver tables (our choice): (month, day, name).
 FIXED_HOLIDAYS = (
@@ -52,14 +52,14 @@ def holiday_dim(raw: DataFrame) -> DataFrame:
 def holiday_join(df: DataFrame, hol: DataFrame) -> DataFrame:
     """Left join the holiday dimension on the day; ``is_ph`` 0 where no holiday."""
     # One row per calendar day (holiday_dim groups by day): bounded by the days of the range.
-    out = df.join(bounded_broadcast(hol.select("ds", "holiday", "is_ph"), max_rows=100_000), "ds", "left")
+    out = df.join(hol.select("ds", "holiday", "is_ph"), "ds", "left")
     return out.withColumn("is_ph", F.coalesce(F.col("is_ph"), F.lit(0)))
 
 
 def holiday_range(bounds: DataFrame, hol: DataFrame, series: str = SERIES) -> DataFrame:
     """Calendar days of each series that are holidays, with the holiday's name."""
     from .series import calendar
-    return calendar(bounds, series).join(bounded_broadcast(hol.select("ds", "holiday"), max_rows=100_000), "ds", "inner")
+    return calendar(bounds, series).join(hol.select("ds", "holiday"), "ds", "inner")
 
 
 def calendar_features(df: DataFrame) -> DataFrame:

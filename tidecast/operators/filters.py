@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SERIES, bounded_broadcast, lit_date
+from .common import SERIES, lit_date
 
 
 def filter_contains(df: DataFrame, col: str, needle: str) -> DataFrame:
@@ -56,13 +56,13 @@ def filter_routing(
 
     ``dept_value`` is compared as text (the string "None" is not null). A short Python list
     becomes ``isin``; a DataFrame routing set (column ``agent``) is de-duplicated and joined
-    on the agent, broadcast only behind a size check.
+    on the agent, broadcast only where adaptive execution measures it as small.
     """
     other = (F.col(dept_col) == F.lit(dept_value)) & ~F.col(workbasket_col).contains(exclude_substring)
     if isinstance(agents, (list, tuple, set)):
         return df.where(F.col(agent_col).isin(list(agents)) | other)
     flagged = agents.select(F.col("agent").alias("_agent")).distinct().withColumn("_routed", F.lit(True))
-    joined = df.join(bounded_broadcast(flagged), F.col(agent_col) == F.col("_agent"), "left")
+    joined = df.join(flagged, F.col(agent_col) == F.col("_agent"), "left")
     return joined.where(F.coalesce(F.col("_routed"), F.lit(False)) | other).drop("_agent", "_routed")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import bucket_label, date_range
 from ..functions.numeric import parse_grouped_number
 from ..functions.dates import day_first_date
-from .common import SERIES, bounded_broadcast
+from .common import SERIES
 
 
 # ---------------------------------------------------------------- calendar and densify --
@@ -55,7 +55,7 @@ def patch_values(df: DataFrame, patch: DataFrame, series: str = SERIES) -> DataF
     rows, and broadcast only behind a size check.
     """
     dim = patch.groupBy(series, "ds").agg(F.max("y").alias("_patched"))
-    out = df.join(bounded_broadcast(dim), [series, "ds"], "left")
+    out = df.join(dim, [series, "ds"], "left")
     return out.withColumn("y", F.coalesce(F.col("_patched"), F.col("y")).cast(df.schema["y"].dataType)).drop("_patched")
 
 

@@ -1,7 +1,7 @@
 """Registered queries: name → ``(spark, sf_dir) -> DataFrame`` over the driver's tables.
 
-Each key is one operator (or composite) of the inventory, run over whole tables. Model keys
-that SQL cannot state are registered in ``models_catalog``.
+Each key is one operator (or composite) of the inventory, run over whole tables. Model keys,
+which SQL cannot state, come last.
 """
 
 from __future__ import annotations

@@ -8,9 +8,10 @@ from ..operators.series import horizon_only
 
 
 def write_series(df: DataFrame, path: str, fmt: str = "parquet", partition_by: str | None = "series_id",
-                 mode: str = "overwrite") -> None:
-    """Write a forecast frame, one folder per series (later reads prune by series)."""
-    w = df.write.mode(mode).format(fmt)
+                 mode: str = "overwrite", order_by: str = "ds") -> None:
+    """Write a forecast frame, one folder per series (later reads prune by series); every file is
+    in day order, by a sort within the tasks."""
+    w = df.sortWithinPartitions(*[c for c in (partition_by, order_by) if c]).write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
     if partition_by:
