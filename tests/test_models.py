@@ -159,6 +159,7 @@ def test_components_recombine_to_the_forecast(spark):
     rows = split_frame(spark, ds, y * (1 + 0.3 * np.sin(np.arange(400) / 20)))
     hol = spark.createDataFrame([(D(2021, 5, 1), "Labour Day", 0), (D(2022, 1, 10), "Labour Day", 0)],
                                 "ds date, holiday string, offset int")
+    hol = structural.HolidayWindows(hol, ("Labour Day",), 0, 0)
     for mode in ("additive", "multiplicative"):
         spec = structural.StructuralSpec(mode=mode)
         p = {"changepoint_prior_scale": 0.05, "param_id": 1}
@@ -194,3 +195,44 @@ def test_global_trees_take_any_number_of_series(spark):
     except ValueError:
         return
     raise AssertionError("a learning rate above 1 must be refused")
+
+
+def test_recursive_trees_use_their_own_forecasts(spark):
+    feats = ["wday", "count_lag1", "count_lag2"]
+    p = {"max_depth": 2, "min_data_in_leaf": 5, "learning_rate": 0.5, "num_leaves": 3, "num_iterations": 4}
+    ds = [D(2021, 1, 4) + dt.timedelta(days=i) for i in range(66)]
+    rows = [(s, d, d.weekday(), float(level + 5 * d.weekday() + i % 3) if i < 60 else None)
+            for s, level in (("a", 10), ("b", 80)) for i, d in enumerate(ds)]
+    rows += [("new", d, d.weekday(), None) for d in ds[60:]]
+    df = features.lag_features(spark.createDataFrame(rows, "series_id string, ds date, wday int, y double"), n=2)
+    df = df.withColumn("holiday_code", F.lit(0))
+    past, ahead = df.where("y is not null"), df.where("y is null")
+    model, level = gbt.fit(past, p, feats)
+    out = gbt.forecast_recursive(model, level, past, ahead, 5, feats, steps_per_write=2).toPandas()
+    assert out.groupby("series_id").size().to_dict() == {"a": 5, "b": 5, "new": 5}  # a series without history too
+    levels = {r.series_id: (r.series_mean, r.series_spread) for r in level.collect()}
+    trees = model.stages[-1]
+    from pyspark.ml.linalg import Vectors
+    for sid in ("a", "b"):
+        last = [r[3] for r in rows if r[0] == sid and r[3] is not None][-2:]
+        got = out[out.series_id == sid].sort_values("ds")
+        assert list(got.ds) == ds[60:65] and list(got.step) == [1, 2, 3, 4, 5]
+        for d, fc in zip(got.ds, got.fcst):
+            want = trees.predict(Vectors.dense([d.weekday(), last[-1], last[-2], *levels[sid]]))
+            assert abs(want - fc) < 1e-9
+            last.append(want)
+
+
+def test_balance_model_on_weeks_and_months_has_the_yearly_term_only(spark):
+    assert [n for n, _, _ in structural.balance_spec("D").seasonalities] == ["weekly", "monthly", "quarterly", "yearly"]
+    assert [n for n, _, _ in structural.balance_spec("W").seasonalities] == ["yearly"]
+    assert structural.INTAKE_SPEC.mode == "additive" and len(structural.INTAKE_SPEC.season_columns()) == 26
+
+
+def test_holiday_windows_state_their_columns(spark):
+    days = spark.createDataFrame([(D(2021, 5, 1), "Labour Day", 0), (D(2021, 5, 2), "Labour Day", 1), (D(2021, 5, 3), "Other", 0),
+                                  (D(2021, 5, 1), "Labour Day", 0)], "ds date, holiday string, offset int")
+    df = spark.createDataFrame([(D(2021, 5, i),) for i in range(1, 5)], "ds date")
+    out, cols = structural.holiday_indicators(df, structural.HolidayWindows(days, ("Labour Day", "Absent"), 0, 1))
+    assert cols == ["hol_LabourDay_0", "hol_LabourDay_1", "hol_Absent_0", "hol_Absent_1"]
+    assert [tuple(r)[1:] for r in out.orderBy("ds").collect()] == [(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]

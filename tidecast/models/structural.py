@@ -14,6 +14,7 @@ training residuals around the forecast (80 % interval).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ SEASONALITY_PRIOR = 10.0
 N_CHANGEPOINTS = 25
 CHANGEPOINT_RANGE = 0.8
 INTERVAL_WIDTH = 0.8
+# default terms of the intake flow's model, which is additive
+INTAKE_SEASONALITIES = (("weekly", 7.0, 3), ("yearly", 365.25, 10))
 # -----------------------------------------------------------------------------------------
 
 WEAK_PRIOR = 10.0
@@ -52,6 +55,26 @@ class StructuralSpec:
         return out
 
 
+INTAKE_SPEC = StructuralSpec(seasonalities=INTAKE_SEASONALITIES, mode="additive")
+
+
+def balance_spec(freq: str) -> StructuralSpec:
+    """The balance model at a frequency: only the yearly term is resolvable on weeks and months."""
+    return StructuralSpec(seasonalities=SEASONALITIES if freq == "D" else SEASONALITIES[-1:])
+
+
+@dataclass(frozen=True)
+class HolidayWindows:
+    """Days of holiday windows (``ds, holiday, offset``) and the columns they make, stated by
+    the caller: every name at every offset. Days of other names or offsets have no column."""
+
+    days: DataFrame
+    names: tuple[str, ...]
+    lower: int
+    upper: int
+
+    def keys(self) -> list[str]:
+        return [f"{re.sub('[^A-Za-z0-9]', '', n)}_{o}" for n in self.names for o in range(self.lower, self.upper + 1)]
 
 
 def _ridge(gram: np.ndarray, rhs: np.ndarray, penalty: np.ndarray) -> np.ndarray:
@@ -164,22 +187,22 @@ def fit_predict_group(pdf: pd.DataFrame, grid: list[dict], spec: StructuralSpec,
     return res[key_cols + OUT]
 
 
-def holiday_indicators(df: DataFrame, windows: DataFrame | None) -> tuple[DataFrame, list[str]]:
-    """One 0/1 column per (holiday, offset) of ``windows`` (``ds, holiday, offset``): a pivot
-    over the listed keys, so each day's row carries its holiday-window regressors."""
+def holiday_indicators(df: DataFrame, windows: HolidayWindows | None) -> tuple[DataFrame, list[str]]:
+    """One 0/1 column per (holiday, offset) of ``windows``: a pivot over the listed keys, so
+    each day's row carries its holiday-window regressors."""
     if windows is None:
         return df, []
-    keyed = windows.select("ds", F.concat_ws("_", F.regexp_replace("holiday", "[^A-Za-z0-9]", ""),
+    keyed = windows.days.select("ds", F.concat_ws("_", F.regexp_replace("holiday", "[^A-Za-z0-9]", ""),
                                             F.col("offset").cast("string")).alias("hk"))
-    names = sorted(r[0] for r in keyed.select("hk").distinct().collect())  # bounded: holidays × window days
-    wide = keyed.groupBy("ds").pivot("hk", names).agg(F.count(F.lit(1)))
+    names = windows.keys()
+    wide = keyed.distinct().groupBy("ds").pivot("hk", names).agg(F.count(F.lit(1)))
     cols = [f"hol_{n}" for n in names]
     wide = wide.select("ds", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("double").alias(c) for n, c in zip(names, cols)])
     out = df.join(F.broadcast(wide), "ds", "left").fillna(0.0, subset=cols)
     return out, cols
 
 
-def _model_rows(rows: DataFrame, keys: list[str], windows: DataFrame | None, *more: str) -> tuple[DataFrame, list[str]]:
+def _model_rows(rows: DataFrame, keys: list[str], windows: HolidayWindows | None, *more: str) -> tuple[DataFrame, list[str]]:
     # Only the day index crosses into Python; the sin/cos terms are rebuilt from it inside the
     # group (shipping 2·Σorder doubles per fold-expanded row would dominate the cost).
     x = rows.withColumn("t", F.datediff("ds", F.lit("1970-01-01").cast("date")))
@@ -194,7 +217,7 @@ def _key_schema(rows: DataFrame, keys: list[str]) -> str:
 
 
 def forecast_structural(rows: DataFrame, grid: list[dict], keys: list[str], spec: StructuralSpec = StructuralSpec(),
-                        windows: DataFrame | None = None, chosen: str | None = None) -> DataFrame:
+                        windows: HolidayWindows | None = None, chosen: str | None = None) -> DataFrame:
     """Fit every parameter set per ``keys`` group on rows tagged ``role`` train/test.
 
     ``rows``: ``keys…, ds, y, role``. ``chosen`` names a column with the one ``param_id`` to fit
@@ -216,7 +239,7 @@ def forecast_structural(rows: DataFrame, grid: list[dict], keys: list[str], spec
 
 
 def components(rows: DataFrame, params: dict, keys: list[str], spec: StructuralSpec = StructuralSpec(),
-               windows: DataFrame | None = None) -> DataFrame:
+               windows: HolidayWindows | None = None) -> DataFrame:
     """Per day: trend, each seasonality and the holiday effect of the model that forecasts
     (additive: all in units of ``y``, their sum is the fit; multiplicative: effects as a share of
     the trend, the fit is trend · (1 + their sum)). Null values where a group has no training row."""

@@ -293,6 +293,11 @@ def q_calendar_features(spark, sf):
     return features.calendar_features(testbed.modelling_series(spark, sf))
 
 
+def _series_holidays(spark, sf):
+    """Holidays of the years of the intake series."""
+    return testbed.holidays(spark, sf, testbed.modelling_series(spark, sf))
+
+
 @register("holiday_clean")
 def q_holiday_clean(spark, sf):
     raw = testbed.holidays_raw(spark, sf)
@@ -301,13 +306,13 @@ def q_holiday_clean(spark, sf):
 
 @register("holiday_code")
 def q_holiday_code(spark, sf):
-    x = features.holiday_join(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    x = features.holiday_join(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
     return x.select(S, "ds", "holiday", holiday_code("holiday").alias("holiday_code"))
 
 
 @register("holiday_join")
 def q_holiday_join(spark, sf):
-    return features.holiday_join(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return features.holiday_join(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
 
 
 @register("holiday_range")
@@ -323,12 +328,12 @@ def q_holiday_window(spark, sf):
 
 @register("holiday_flags")
 def q_holiday_flags(spark, sf):
-    return features.holiday_flags(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return features.holiday_flags(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
 
 
 @register("lag_flag")
 def q_lag_flag(spark, sf):
-    x = features.holiday_join(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    x = features.holiday_join(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
     return features.lag_flag(x, "is_ph", 1).select(S, "ds", "is_ph", "is_ph_lag1")
 
 
@@ -339,7 +344,7 @@ def q_lag_features(spark, sf):
 
 @register("feature_frame")
 def q_feature_frame(spark, sf):
-    return features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    return features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
 
 
 # --------------------------------------------------------------------- folds, grids --
@@ -554,35 +559,55 @@ def _split_rows(spark, sf):
         "role", F.when(F.col("split") == "train", "train").otherwise("test")).drop("split")
 
 
+HOLIDAY_NAMES = tuple(name for _, _, name in features.FIXED_HOLIDAYS)
+
+
 def _windows(spark, sf):
-    return features.holiday_window(testbed.holidays(spark, sf), 0, 1)
+    days = features.holiday_window(_series_holidays(spark, sf), 0, 1)
+    return structural.HolidayWindows(days, HOLIDAY_NAMES, 0, 1)
 
 
 @register("forecast_structural")
 def q_forecast_structural(spark, sf):
     return structural.forecast_structural(_split_rows(spark, sf), _structural_grid(), [S],
-                                          windows=_windows(spark, sf))
+                                          structural.INTAKE_SPEC, _windows(spark, sf))
 
 
 def _arx_rows(spark, sf):
     x = features.calendar_features(features.holiday_flags(testbed.modelling_series(spark, sf),
-                                                          testbed.holidays(spark, sf)).drop("wday"))
-    x = arx_model.with_lags(x)
-    return testbed.fixed_split(x).withColumn("role", F.col("split")).drop("split")
+                                                          _series_holidays(spark, sf)).drop("wday"))
+    return arx_model.with_lags(x)
 
 
 @register("forecast_arx")
 def q_forecast_arx(spark, sf):
-    return arx_model.forecast_arx(_arx_rows(spark, sf), [S])
+    rows = testbed.fixed_split(_arx_rows(spark, sf)).withColumn("role", F.col("split")).drop("split")
+    return arx_model.forecast_arx(rows, [S])
+
+
+def _rolling(x):
+    """The CV window of a frame expanded to the rolling folds."""
+    return folds.expand_rolling(testbed.cv_slice(x), T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.roll_step)
+
+
+def _fold_scores(fc, keys):
+    return scoring.cv_mean(scoring.metric_table(fc, [*keys, "fold"]), keys, "wkpi")
+
+
+@register("backtest_arx")
+def q_backtest_arx(spark, sf):
+    """Autoregression over the rolling folds: mean of the fold scores and pooled score per series."""
+    fc = cut_lineage(arx_model.forecast_arx(_rolling(_arx_rows(spark, sf)), [S, "fold"]))
+    return _fold_scores(fc, [S]).join(scoring.cv_pooled(fc, [S]), S)
 
 
 def _gbt_frames(spark, sf):
-    ff = features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    ff = features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
     return testbed.cv_slice(ff), testbed.test_slice(ff)
 
 
 def _tree_rows(spark, sf):
-    ff = features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf))
+    ff = features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
     return testbed.fixed_split(ff).withColumn("role", F.col("split")).drop("split")
 
 
@@ -600,15 +625,27 @@ def q_forecast_gbt_global(spark, sf):
     return gbt_model.fit_predict(train, test, LIVE_TREE)
 
 
+@register("forecast_gbt_recursive")
+def q_forecast_gbt_recursive(spark, sf):
+    """One ``pyspark.ml`` model over all series, fitted on all history; the next 90 days, each
+    step from the forecasts before it."""
+    hist, n = testbed.modelling_series(spark, sf), series.default_horizon("D")
+    long = series.extend_horizon(hist, n, "D")
+    ff = features.feature_frame(long, testbed.holidays(spark, sf, long))
+    model, level = gbt_model.fit(ff.where(F.col("y").isNotNull()), TREE_SETS[1])
+    return gbt_model.forecast_recursive(model, level, hist, ff.where(F.col("y").isNull()), n)
+
+
+def _tree_folds(spark, sf, grid):
+    ff = features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
+    return boost.forecast_boost(_rolling(ff), grid, [S, "fold"])
+
+
 @register("backtest_gbt")
 def q_backtest_gbt(spark, sf):
     """Tree grid over rolling folds: mean fold KPI per series and set (no scored fold → inf),
     lowest chosen. Each fold and set is fitted once."""
-    ff = testbed.cv_slice(features.feature_frame(testbed.modelling_series(spark, sf), testbed.holidays(spark, sf)))
-    rows = folds.expand_rolling(ff, T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.roll_step)
-    fc = cut_lineage(boost.forecast_boost(rows, TREE_SETS, [S, "fold"]))
-    per_fold = scoring.metric_table(fc, [S, "param_id", "fold"])
-    mean = scoring.cv_mean(per_fold, [S, "param_id"], "wkpi")
+    mean = _fold_scores(cut_lineage(_tree_folds(spark, sf, TREE_SETS)), [S, "param_id"])
     best = scoring.best_params(mean, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
     return mean.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
 
@@ -632,80 +669,125 @@ def q_ensemble_forecast(spark, sf):
     return scoring.blend(_model_forecasts(spark, sf), ENSEMBLE)
 
 
+def _cv_boards(spark, sf):
+    """Mean fold score of each model over the rolling folds, with the sets of the hold-out forecasts."""
+    parts = {"structural": _structural_folds(spark, sf, _structural_grid()[:1]),
+             "arx": arx_model.forecast_arx(_rolling(_arx_rows(spark, sf)), [S, "fold"]),
+             "gbt": _tree_folds(spark, sf, TREE_SETS[:1])}
+    rows = [fc.select(S, F.lit(name).alias("model"), "fold", "actual", "fcst") for name, fc in parts.items()]
+    return _fold_scores(cut_lineage(rows[0].unionByName(rows[1]).unionByName(rows[2])), [S, "model"])
+
+
 @register("model_scoreboard")
 def q_model_scoreboard(spark, sf):
+    """Hold-out measures of the three models next to their mean score over the rolling folds."""
     fc = cut_lineage(_model_forecasts(spark, sf))  # each model fitted once
     raw = scoring.metric_table(fc, [S, "model"])
     rounded = scoring.single_metric(fc.withColumn("fcst", round_half_even("fcst")), [S, "model"], "wkpi")
-    return raw.join(rounded.withColumnRenamed("wkpi", "wkpi_rounded"), [S, "model"])
+    board = raw.join(rounded.withColumnRenamed("wkpi", "wkpi_rounded"), [S, "model"])
+    return board.join(_cv_boards(spark, sf), [S, "model"], "left")
 
 
-def _backtest_rows(spark, sf):
-    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
-    return folds.expand_rolling(x, T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.roll_step)
+def _structural_folds(spark, sf, grid):
+    rows = _rolling(testbed.modelling_series(spark, sf)).select(S, "fold", "ds", "y", "role")
+    return structural.forecast_structural(rows, grid, [S, "fold"], structural.INTAKE_SPEC, _windows(spark, sf))
 
 
 @register("backtest")
 def q_backtest(spark, sf):
     """Structural model over rolling folds × grid → per series and parameter set: mean of
     fold scores, pooled score and fold count, plus the chosen set."""
-    fc = cut_lineage(structural.forecast_structural(_backtest_rows(spark, sf).select(S, "fold", "ds", "y", "role"),
-                                                    _structural_grid(), [S, "fold"], windows=_windows(spark, sf)))
-    per_fold = scoring.metric_table(fc, [S, "param_id", "fold"])
-    mean = scoring.cv_mean(per_fold, [S, "param_id"], "wkpi")
-    pooled = scoring.cv_pooled(fc, [S, "param_id"])
-    board = mean.join(pooled, [S, "param_id"])
+    fc = cut_lineage(_structural_folds(spark, sf, _structural_grid()))
+    board = _fold_scores(fc, [S, "param_id"]).join(scoring.cv_pooled(fc, [S, "param_id"]), [S, "param_id"])
     best = scoring.best_params(board, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
     out = board.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
     return scoring.with_grid_mean(out, [S], "cv_mean_wkpi")
 
 
+def _cutoff_folds(spark, sf, grid):
+    """Forecasts of the structural model refitted at every month-start cutoff, without holidays
+    as in the original's loop."""
+    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
+    rows = folds.fold_expand(x, folds.folds_cutoff(_bounds(spark, sf), T.cutoff_horizon))
+    rows = rows.withColumn("cutoff", F.date_sub("test_start", 1)).select(S, "fold", "cutoff", "ds", "y", "role")
+    return structural.forecast_structural(rows, grid, [S, "fold", "cutoff"], structural.INTAKE_SPEC)
+
+
 @register("backtest_cutoff")
 def q_backtest_cutoff(spark, sf):
     """The original's live tuning loop: structural model refitted at every month-start cutoff
     (train on all days up to it, score the next 60), pooled weighted KPI per parameter set over
     all cutoff rows, arg-min chosen, plus the mean over the grid."""
-    x = testbed.cv_slice(testbed.modelling_series(spark, sf))
-    rows = folds.fold_expand(x, folds.folds_cutoff(_bounds(spark, sf), T.cutoff_horizon)).select(
-        S, "fold", "ds", "y", "role")
-    fc = cut_lineage(structural.forecast_structural(rows, _structural_grid(), [S, "fold"], windows=_windows(spark, sf)))
-    pooled = scoring.cv_pooled(fc, [S, "param_id"])
+    pooled = scoring.cv_pooled(cut_lineage(_cutoff_folds(spark, sf, _structural_grid())), [S, "param_id"])
     best = scoring.best_params(pooled, [S], "cv_pooled_wkpi").select(S, F.col("param_id").alias("_best"))
     out = pooled.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
     return scoring.with_grid_mean(out, [S], "cv_pooled_wkpi")
 
 
+@register("horizon_structural")
+def q_horizon_structural(spark, sf):
+    """Errors and band coverage of the structural model by days ahead over the cutoff folds."""
+    return scoring.metrics_by_horizon(_cutoff_folds(spark, sf, _structural_grid()), [S, "param_id"])
+
+
 @register("tuned_forecast")
 def q_tuned_forecast(spark, sf):
     """Refit on all history with each series' best set and forecast the next 90 days."""
-    hist = testbed.modelling_series(spark, sf)
-    rows = series.extend_horizon(hist, 90, "D").withColumn(
+    rows = series.extend_horizon(testbed.modelling_series(spark, sf), 90, "D").withColumn(
         "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
     best = q_backtest(spark, sf).where("is_best").select(S, F.col("param_id").alias("best"))
-    return structural.forecast_structural(rows.join(best, S, "left"), _structural_grid(), [S], windows=_windows(spark, sf),
-                                          chosen="best")
+    return structural.forecast_structural(rows.join(best, S, "left"), _structural_grid(), [S],
+                                          structural.INTAKE_SPEC, _windows(spark, sf), chosen="best")
+
+
+# ------------------------------------------------------------------------ balance flow --
+
+BALANCE_GRID = [{"changepoint_prior_scale": c, "param_id": i} for i, c in enumerate(BALANCE_CPS_GRID, 1)]
+
+
+def _yearend(bal):
+    days = features.yearend_window(bal).select("ds", "holiday", "offset").distinct()
+    return structural.HolidayWindows(days, ("year_end_spike",), -14, 31)
 
 
 @register("components")
 def q_components(spark, sf):
-    rows = testbed.modelling_series(spark, sf).withColumn("role", F.lit("train"))
-    return structural.components(rows, _structural_grid()[0], [S], windows=_windows(spark, sf))
+    bal = testbed.balance_series(spark, sf)
+    rows = bal.withColumn("role", F.lit("train"))
+    return structural.components(rows, BALANCE_GRID[1], [S], structural.balance_spec("D"), _yearend(bal))
 
 
-@register("tune_balance")
-def q_tune_balance(spark, sf):
-    """Balance flow: last 90 days held out, six changepoint scales scored by MAE, the best
-    refitted on all history and forecast 90 days, joined back to the history."""
+def _grid_scores(spark, sf, freq):
+    """Last 90 days held out, both sides resampled to ``freq``, every changepoint scale scored."""
     bal = testbed.balance_series(spark, sf)
-    spec = structural.StructuralSpec()
-    windows = features.yearend_window(bal).select("ds", "holiday", "offset").distinct()
-    grid = [{"changepoint_prior_scale": c, "param_id": i} for i, c in enumerate(BALANCE_CPS_GRID, 1)]
-    split = filters.split_tail(bal, T.validation_days).withColumn(
-        "role", F.when(F.col("split") == "train", "train").otherwise("test"))
-    val = structural.forecast_structural(split, grid, [S], spec, windows)
-    scores = scoring.metric_table(val, [S, "param_id"]).select(S, "param_id", "mae", "rmse", "mape")
-    best = scoring.best_params(scores, [S], "mae").select(S, F.col("param_id").alias("best"))
-    rows = series.extend_horizon(bal, series.default_horizon("D"), "D").withColumn(
-        "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
-    final = structural.forecast_structural(rows.join(best, S, "left"), grid, [S], spec, windows, chosen="best")
-    return scoring.forecast_with_actuals(final.select(S, "ds", "fcst", "lo", "hi"), bal)
+    split = series.resample_split(bal, T.validation_days, freq)
+    rows = split.withColumn("role", F.when(F.col("split") == "train", "train").otherwise("test"))
+    val = structural.forecast_structural(rows, BALANCE_GRID, [S], structural.balance_spec(freq), _yearend(bal))
+    return scoring.metric_table(val, [S, "param_id"]).select(S, "param_id", "mae", "rmse", "mape")
+
+
+@register("balance_grid_scores")
+def q_balance_grid_scores(spark, sf):
+    """Score table of the balance grid on days, weeks and months."""
+    tables = [_grid_scores(spark, sf, f).withColumn("freq", F.lit(f)) for f in ("D", "W", "M")]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def _tuned_balance(freq):
+    def q(spark, sf):
+        bal = testbed.balance_series(spark, sf)
+        hist = series.resample(bal, freq)
+        best = scoring.best_params(_grid_scores(spark, sf, freq), [S], "mae").select(S, F.col("param_id").alias("best"))
+        rows = series.extend_horizon(hist, series.default_horizon(freq), freq).withColumn(
+            "role", F.when(F.col("y").isNotNull(), "train").otherwise("test"))
+        final = structural.forecast_structural(rows.join(best, S, "left"), BALANCE_GRID, [S],
+                                               structural.balance_spec(freq), _yearend(bal), chosen="best")
+        return scoring.forecast_with_actuals(final.select(S, "ds", "fcst", "lo", "hi"), hist)
+
+    q.__doc__ = f"""Balance flow at frequency {freq}: last 90 days held out, six changepoint scales scored by MAE,
+    the best refitted on all history and forecast {series.default_horizon(freq)} steps, joined back to the history."""
+    return q
+
+
+for _key, _freq in (("tune_balance", "D"), ("tune_balance_week", "W"), ("tune_balance_month", "M")):
+    register(_key)(_tuned_balance(_freq))

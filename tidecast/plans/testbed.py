@@ -4,7 +4,8 @@
   ``Open Balances`` comma-grouped text), one line per segment and order day, built from
   orders. Lines dated the 31st carry an unreadable date and lines dated the 15th an
   unreadable value, so parsing has rows to drop; days without orders are gaps.
-* ``holidays_raw``: fixed-date holidays for every year the orders cover.
+* ``holidays``: fixed-date holidays for every year of a daily series (of the orders where no
+  series is given).
 * ``modelling_series``: the intake series (counts per segment and day).
 """
 
@@ -69,8 +70,9 @@ def holidays_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holiday_calendar(order_days(spark, sf_dir))
 
 
-def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return holiday_dim(holidays_raw(spark, sf_dir))
+def holidays(spark: SparkSession, sf_dir: str, series: DataFrame | None = None) -> DataFrame:
+    """The years come from the small daily ``series`` where one is given, else from the orders."""
+    return holiday_dim(holidays_raw(spark, sf_dir) if series is None else holiday_calendar(series))
 
 
 _SCOPE: contextvars.ContextVar[dict | None] = contextvars.ContextVar("tidecast_query_scope", default=None)
