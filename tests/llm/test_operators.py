@@ -415,3 +415,17 @@ def test_pipeline_stages(spark, texts, tmp_path):
         before = ids
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == [*columns, "ids"] and {r.doc_id for r in out.select("doc_id").collect()} == before
+
+
+def test_near_copies_within_one_template_are_found(spark):
+    """Twins at 0.89 among texts that all share a template and are 0.77 alike."""
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    template, rows = words(300), []
+    for i in range(100):
+        own = words(45)
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:25] + words(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spec = near_dedup.NearDupSpec(words=3, percent=85, bands=64)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, spec).collect()}
+    assert got == {d: d - d % 2 for d in range(200)}

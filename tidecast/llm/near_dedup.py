@@ -25,6 +25,8 @@ class NearDupSpec:
 
     32 bands of 5 rows: a pair at similarity 0.85 shares no bucket with probability 7e-9, one at
     0.8 with 3e-6; a pair at 0.3 shares one with probability 0.07 and is refuted afterwards.
+    More bands also give near pairs of one template more buckets of their own, apart from those
+    that the template fills (stars compare a member with two centres of a bucket only).
     """
 
     words: int = 5
@@ -181,4 +183,4 @@ def drop_near_duplicates(docs: DataFrame, spec: NearDupSpec = NearDupSpec(), tex
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), NearDupSpec(words=3, percent=85))
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDupSpec(words=3, percent=85, bands=64))
