@@ -429,3 +429,19 @@ def test_near_copies_within_one_template_are_found(spark):
     spec = near_dedup.NearDupSpec(words=3, percent=85, bands=64)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, spec).collect()}
     assert got == {d: d - d % 2 for d in range(200)}
+
+
+@pytest.mark.parametrize("words, percent, n, own, changed", [(3, 85, 300, 31, 21), (5, 80, 300, 42, 28)])
+def test_near_copies_within_a_template_just_below_the_limit_are_found(spark, words, percent, n, own, changed):
+    """Twins among texts whose shared template alone brings every pair close to the limit."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    template, texts = fresh(n), []
+    for _ in range(200):
+        mine = fresh(own)
+        texts += [" ".join(template + mine), " ".join(template + mine[:-changed] + fresh(changed))]
+    a, b, other = (shingles(texts[i], words) for i in (0, 1, 2))
+    assert 100 * len(a & b) >= percent * len(a | b) and percent - 3 < 100 * len(a & other) / len(a | other) < percent
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, near_dedup.NearDupSpec(words=words, percent=percent, bands=32)).collect()}
+    assert got == {d: d - d % 2 for d in range(400)}

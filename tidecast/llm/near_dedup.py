@@ -2,8 +2,9 @@
 
 One-permutation hashing with optimal densification gives each text a signature; bands of the
 signature are buckets; each bucket emits star-shaped candidate edges (every member to one
-centre), which are confirmed on the full shingle sets; connected components of the confirmed
-links are the groups.
+centre), which are confirmed on the full shingle sets. Buckets that still hold pairs nobody
+compared (a shared template fills them) are settled exactly, by the rarest shingles of their
+members. Connected components of the confirmed links are the groups.
 """
 
 from __future__ import annotations
@@ -23,15 +24,13 @@ from tidecast.llm.components import connected_components
 class NearDupSpec:
     """words per shingle; link when 100 * shared >= percent * union; bands x rows of the signature.
 
-    32 bands of 5 rows: a pair at similarity 0.85 shares no bucket with probability 7e-9, one at
-    0.8 with 3e-6; a pair at 0.3 shares one with probability 0.07 and is refuted afterwards.
-    More bands also give near pairs of one template more buckets of their own, apart from those
-    that the template fills (stars compare a member with two centres of a bucket only).
+    64 bands of 5 rows: a pair at similarity 0.8 shares no bucket with probability 1e-11 (with 32
+    bands 3e-6); a pair at 0.3 shares one with probability 0.14 and is refuted afterwards.
     """
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
+    bands: int = 64
     rows: int = 5
 
 
@@ -96,6 +95,62 @@ def shingles_udf(k: int):
     return shingles
 
 
+#: Shingles are ranked by the count of their slot, so ranks need a table of fixed size only.
+SLOTS = 1 << 17
+
+
+def prefix_udf(counts: np.ndarray, percent: int):
+    """The rarest shingles of a set, by (count of the slot, shingle): enough to meet every partner.
+
+    Of two sets that are similar enough, the first n - ceil(percent * n) + 1 of the larger and the
+    first n - ceil(2 * percent / (1 + percent) * n) + 1 of the smaller (``lead``) share a shingle.
+    """
+
+    @F.arrow_udf("array<struct<s:bigint,lead:boolean>>")
+    def prefix(sets: pa.Array) -> pa.Array:
+        off, parts, lead = [0], [], []
+        for x in sets:
+            s = x.values.to_numpy(zero_copy_only=False)
+            n = len(s)
+            size = n + n * percent // -100 + 1
+            s = s[np.lexsort((s, counts[s & (SLOTS - 1)]))[:size]]
+            parts.append(s)
+            lead.append(np.arange(len(s)) < n + 2 * percent * n // -(100 + percent) + 1)
+            off.append(off[-1] + len(s))
+        s, first = (np.concatenate(a) if a else np.empty(0, d) for a, d in ((parts, np.int64), (lead, bool)))
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(s), pa.array(first)], ["s", "lead"]))
+
+    return prefix
+
+
+def _open_rows(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(row, root) of the rows of buckets that hold a pair of two groups without a centre in it."""
+    far = buckets.where("m > 2 and row != c1 and row != c2").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    far = far.select("key", "row", F.coalesce("root", "row").alias("root"))
+    spans = far.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    return far.join(spans, "key", "left_semi").select("row", "root").distinct()
+
+
+def _prefix_pairs(open_rows: DataFrame, sets: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of two groups that share a rare shingle: all that can be similar enough."""
+    held = scratch.write(sets.join(open_rows, "row"), "open-sets")
+    slots = held.select(F.explode("s").alias("s")).groupBy(F.col("s").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    entries = held.select("row", "root", F.size("s").alias("n"), F.explode(prefix_udf(counts, spec.percent)("s")).alias("p")).select("row", "root", "n", "p.*")
+    entries = scratch.write(entries, "prefixes")
+    spans = entries.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("lead").alias("lead")).where("lo != hi and lead")
+    entries = scratch.write(entries.join(spans, "s", "left_semi"), "shared-prefixes")
+    # by pairs of groups first: members of one group, however large, never meet each other
+    of = entries.groupBy("s", "root").agg(F.max("lead").alias("lead"))
+    groups = of.where("lead").select("s", F.col("root").alias("ra")).join(of.select("s", F.col("root").alias("rb")), "s").where("ra != rb")
+    small = entries.where("lead").select("s", F.col("root").alias("ra"), F.col("row").alias("a"), F.col("n").alias("na"))
+    large = entries.select("s", F.col("root").alias("rb"), F.col("row").alias("b"), F.col("n").alias("nb"))
+    both = groups.join(small, ["s", "ra"]).join(large, ["s", "rb"])
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return scratch.write(both.where(ordered & (F.col("na") * 100 >= F.col("nb") * spec.percent)).select("a", "b").distinct(), "edges3")
+
+
 def _confirmed(sets: DataFrame, edges: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
     """The edges (a, b) whose full shingle sets (row, s) are similar enough."""
     left = sets.select(F.col("row").alias("a"), F.col("s").alias("sa"))
@@ -113,6 +168,8 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
        bucket once. 2. Each bucket links its members to its smallest row. 3. Buckets that still
        span several groups link members of other groups to a second centre, picked by another
        order in each bucket, so a centre that happens to be unlike the others hides no link.
+    4. Members of buckets that still hold two groups besides the centres are joined by their
+    rarest shingles, which finds every link between them.
     """
     own = signed.select("row", "sig.n", F.col("sig.a").alias("ha"), F.col("sig.b").alias("hb"))
     classes = scratch.write(own.where("n > 0").groupBy("ha", "hb", "n").agg(F.min("row").alias("rep")), "classes")
@@ -122,8 +179,8 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
     keys = scratch.write(reps.select("row", F.explode("sig.bands").alias("key")), "keys")
     order = F.xxhash64("key")
     centres = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("row").alias("c1"), F.min(F.col("row").bitwiseXOR(order)).alias("x"))
-    centres = centres.where("m > 1").select("key", "c1", F.col("x").bitwiseXOR(order).alias("c2"))
-    buckets = scratch.write(keys.join(centres, "key").select("row", "c1", "c2"), "buckets")
+    centres = centres.where("m > 1").select("key", "m", "c1", F.col("x").bitwiseXOR(order).alias("c2"))
+    buckets = scratch.write(keys.join(centres, "key").select("key", "m", "row", "c1", "c2"), "buckets")
     scratch.drop(keys)
     first = scratch.write(buckets.where("row != c1").select(F.col("row").alias("a"), F.col("c1").alias("b")).distinct(), "edges")
     # texts move once for both rounds, by a shuffle at every size: the list of bucket members grows with the corpus
@@ -135,13 +192,15 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
     ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     pairs = pairs.join(first, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left")
     second = scratch.write(pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "edges2")
-    if second.isEmpty():
-        end = roots
-    else:
-        more = _confirmed(sets, second, spec, scratch)
-        end = scratch.write(connected_components(links.union(more), scratch), "roots2")
+    if not second.isEmpty():
+        links = links.union(_confirmed(sets, second, spec, scratch))
+        roots = scratch.write(connected_components(links, scratch), "roots2")
+    rest = scratch.write(_open_rows(buckets, roots), "open")
+    if not rest.isEmpty():
+        links = links.union(_confirmed(sets, _prefix_pairs(rest, sets, spec, scratch), spec, scratch))
+        roots = scratch.write(connected_components(links, scratch), "roots3")
     scratch.drop(sets)
-    out = members.join(end.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
+    out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
     return scratch.write(out, "groups")
 
 
