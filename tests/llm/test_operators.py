@@ -445,3 +445,20 @@ def test_near_copies_within_a_template_just_below_the_limit_are_found(spark, wor
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, near_dedup.NearDupSpec(words=words, percent=percent, bands=32)).collect()}
     assert got == {d: d - d % 2 for d in range(400)}
+
+
+LONG = ["A first passage of the article, long enough to count as one.", *[f"Passage number {i} of the article goes on for a while and then ends." for i in range(5)]]
+
+
+def test_main_text_keeps_lead_and_article_apart_from_the_consensus(spark):
+    ps = "".join(f"<p>{x}</p>" for x in LONG[1:])
+    usual = f"<div class=a><p>{LONG[0]}</p>{ps}</div>"
+    full, links = "\n".join(LONG), "<ul><li><a href=x>More about this and that on another page of this site</a></ul>"
+    pages = [
+        *[("usual.org", f"<body>{usual}{links}</body>", full)] * 3,
+        ("usual.org", f"<body><div class=a><p>A teaser.</p></div><div class=b><p>{LONG[0]}</p>{ps}</div></body>", "A teaser.\n" + full),
+        ("lead.org", f"<body><div class=post><div class=lead><p>{LONG[0]}</p></div><div class=body>{ps}</div></div>{links}</body>", full),
+    ]
+    df = spark.createDataFrame([(i, f"http://{h}/x", x) for i, (h, x, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(pages)}

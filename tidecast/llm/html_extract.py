@@ -2,7 +2,7 @@
 
 Every page scores its containers and votes for the generalised tag-class path of the best; the
 votes are counted per host in Spark; each page is then extracted again along its host's winning
-path. A page without that path keeps its own best container.
+path. A page whose own best container is not nearly all on that path keeps it as well.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ _OUT_WORDS = frozenset(
 _KEEP = frozenset("html body main".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEGATED = re.compile(r"(?:^|[^a-z])(?:no|has|with|without)[-_]?[a-z]+")
+#: Unlinked characters that make a block a passage of its own.
+_PASSAGE = 40
 #: An opening tag that ends an open paragraph, list item, cell or row.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "option": {"select"}}
@@ -166,20 +168,32 @@ def parse(html: str) -> Page:
 
 
 def best_container(page: Page) -> int:
-    """The element with the most text of its own: all of a block's to its container, half to the next.
+    """The element with the most text of its own (all of a block's to its container, half to the
+    next), or the one around it as long as that adds passages that are not mostly links.
 
     An article or main element around it is taken instead, if there is one.
     """
+    sums = [[0, 0, 0] for _ in page.nodes]
     for i, text, linked in page.blocks:
         worth = max(0, len(text) - linked)
         inside = [k for k in page.up(i) if page.nodes[k].tag in _CONTAINER or k == 0]
         for k, part in zip(inside, (1.0, 0.5), strict=False):
             page.nodes[k].score += part * worth
+        for j, x in enumerate((len(text), linked, int(worth >= _PASSAGE))):
+            sums[i][j] += x
     best = max(range(len(page.nodes)), key=lambda k: (page.nodes[k].score, -k))
     for tag in ("article", "main"):
         for k in page.up(best):
             if page.nodes[k].tag == tag:
                 return k
+    for k in range(len(page.nodes) - 1, 0, -1):
+        for j in range(3):
+            sums[page.nodes[k].parent][j] += sums[k][j]
+    for k in page.up(best):
+        if page.nodes[k].tag in _CONTAINER:
+            chars, linked, passages = (x - y for x, y in zip(sums[k], sums[best], strict=True))
+            if passages and 3 * linked <= chars:
+                best = k
     return best
 
 
@@ -194,13 +208,17 @@ def vote_of(html: str) -> tuple[str, int]:
 
 
 def extract(html: str, path: str | None) -> str:
-    """The text along ``path``; where the page has no text there, of its own best container."""
+    """The text along ``path`` if it holds nine tenths of that in the page's own best container;
+    else the text of both, in page order."""
     page = parse(html)
+    best = best_container(page)
     if path is not None:
         roots = {k for k, n in enumerate(page.nodes) if n.path == path and (n.tag in _BLOCK or k == 0) and not n.out}
-        if text := text_under(page, roots):
-            return text
-    return text_under(page, {best_container(page)})
+        own = [(len(text), any(k in roots for k in page.up(i))) for i, text, _ in page.blocks if best in page.up(i)]
+        if 10 * sum(n for n, on in own if on) < 9 * sum(n for n, _ in own):
+            roots.add(best)
+        return text_under(page, roots)
+    return text_under(page, {best})
 
 
 def _votes(html: pa.Array) -> pa.Array:
