@@ -462,3 +462,16 @@ def test_main_text_keeps_lead_and_article_apart_from_the_consensus(spark):
     df = spark.createDataFrame([(i, f"http://{h}/x", x) for i, (h, x, _) in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(pages)}
+
+
+def test_main_text_keeps_articles_and_wrappers_with_words_in_their_classes(spark):
+    ps, full = "".join(f"<p>{x}</p>" for x in LONG[1:]), "\n".join(LONG)
+    pages = [
+        ("w.org", f"<article class='post tag-search category-social'><p>{LONG[0]}</p>{ps}</article>", full),
+        ("x.org", f"<div id=page class='site right-sidebar'><div class=menu>Home</div><div class=a><p>{LONG[0]}</p>{ps}</div></div>", full),
+        ("y.org", "<div class=comments><article class=comment><p>Only readers speak here.</p></article></div>", "Only readers speak here."),
+        ("z.org", f"<div class=a><p>{LONG[0]}</p></div><div class=comments><article class=comment-body>{ps}</article></div>", LONG[0]),
+    ]
+    df = spark.createDataFrame([(i, f"http://{h}/x", x) for i, (h, x, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(pages)}

@@ -45,6 +45,10 @@ _OUT_WORDS = frozenset(
 _KEEP = frozenset("html body main".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEGATED = re.compile(r"(?:^|[^a-z])(?:no|has|with|without)[-_]?[a-z]+")
+#: Classes that name a post's subject or kind, whatever word follows.
+_NAMED = re.compile(r"(?<![^\s])(?:tag|category|cat|type|format)[-_]\S+")
+#: Words of elements that are left out even where they hold most of a page's text.
+_READERS = frozenset("comment comments disqus reply replies respond discussion".split())
 #: Unlinked characters that make a block a passage of its own.
 _PASSAGE = 40
 #: An opening tag that ends an open paragraph, list item, cell or row.
@@ -58,6 +62,9 @@ class Node:
     path: str
     parent: int
     out: bool
+    words: frozenset[str] = frozenset()
+    gone: bool = False
+    chars: int = 0
     score: float = 0.0
 
 
@@ -74,17 +81,40 @@ class Page:
             i = self.nodes[i].parent
 
 
-def _excluded(tag: str, classes: str) -> bool:
-    if tag in _KEEP:
-        return False
-    if tag in _OUT_TAGS:
-        return True
-    words = set(re.findall("[a-z]+", _NEGATED.sub(" ", classes)))
-    return tag not in _HEADS and not words.isdisjoint(_OUT_WORDS)
+def _out_words(tag: str, classes: str) -> frozenset[str]:
+    """Words of class, id and role for which an element would be left out."""
+    if tag in _KEEP or tag in _HEADS:
+        return frozenset()
+    return _OUT_WORDS.intersection(re.findall("[a-z]+", _NEGATED.sub(" ", _NAMED.sub(" ", classes))))
+
+
+def _spared(page: Page) -> set[int]:
+    """Elements with words to leave out that hold the page's article, main, h1 or most of its text."""
+    chars, holds = [n.chars for n in page.nodes], [False] * len(page.nodes)
+    for k in range(len(page.nodes) - 1, 0, -1):
+        n = page.nodes[k]
+        chars[n.parent] += chars[k]
+        here = not n.gone and (n.tag in ("main", "h1") or (n.tag == "article" and not n.words))
+        holds[n.parent] |= holds[k] or here
+    most = [2 * c > chars[0] for c in chars]
+    return {k for k, n in enumerate(page.nodes) if n.words and (n.tag == "article" or holds[k] or (most[k] and n.words.isdisjoint(_READERS)))}
 
 
 def parse(html: str) -> Page:
-    """Elements and blocks of ``html``; unclosed and misplaced tags are tolerated as browsers do."""
+    """Elements and blocks of ``html``; unclosed and misplaced tags are tolerated as browsers do.
+
+    Elements are left out by tag, or by words of their class, id or role unless they hold the
+    page's article; if nothing is left, by tag only.
+    """
+    page = _parse(html, set())
+    if spared := _spared(page):
+        page = _parse(html, spared)
+    if not page.blocks and any(n.words for n in page.nodes):
+        page = _parse(html, set(range(len(page.nodes))))
+    return page
+
+
+def _parse(html: str, spared: set[int]) -> Page:
     page = Page()
     stack = [0]
     text: list[str] = []
@@ -100,6 +130,8 @@ def parse(html: str) -> Page:
             linked[0] = 0
 
     def add(raw: str) -> None:
+        if raw and not page.nodes[stack[-1]].gone:
+            page.nodes[stack[-1]].chars += len(raw.strip())
         if raw and not page.nodes[stack[-1]].out:
             plain = html_lib.unescape(raw)
             text.append(plain)
@@ -146,18 +178,20 @@ def parse(html: str) -> Page:
                     break
         attrs = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTR.finditer(m["attrs"])}
         up = page.nodes[stack[-1]]
-        out = up.out or _excluded(tag, " ".join(attrs.values()))
+        words = _out_words(tag, " ".join(attrs.values()))
+        gone = up.gone or (tag in _OUT_TAGS and tag not in _KEEP)
+        out = up.out or gone or (bool(words) and len(page.nodes) not in spared)
         if out and not up.out:
             flush() if tag in _BLOCK else None
         if tag in _VOID or (m["attrs"].endswith("/") and tag not in _BLOCK):
             continue
         shape = ".".join([tag, *(re.sub(r"\d+", "", c) for c in attrs.get("class", "").split())])
-        page.nodes.append(Node(tag, f"{up.path}/{shape}" if tag in _BLOCK else up.path, stack[-1], out))
+        page.nodes.append(Node(tag, f"{up.path}/{shape}" if tag in _BLOCK else up.path, stack[-1], out, words, gone))
         stack.append(len(page.nodes) - 1)
         links += tag == "a"
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            if not out:
+            if not gone:
                 add(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
             close(len(stack) - 1)
