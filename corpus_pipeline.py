@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidecast.llm.common import Scratch, table
 from tidecast.llm.mixing import mix
 from tidecast.llm.near_dedup import drop_near_duplicates
-from tidecast.llm.quality import keep_good
+from tidecast.llm.quality import QualitySpec, keep_good
 from tidecast.llm.sentencepiece_codec import encode_documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive rules keep."""
-    return keep_good(docs)
+    """Documents that the adaptive rules keep, with fences that a partly bad source does not widen."""
+    return keep_good(docs, QualitySpec(clean_half=True))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

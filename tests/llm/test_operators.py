@@ -475,3 +475,14 @@ def test_main_text_keeps_articles_and_wrappers_with_words_in_their_classes(spark
     df = spark.createDataFrame([(i, f"http://{h}/x", x) for i, (h, x, _) in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(pages)}
+
+
+def test_a_source_that_is_40_percent_bad_loses_its_bad_rows(spark):
+    rng = random.Random(8)
+    junk = lambda t: " ".join(w + "#" if rng.random() < 0.8 else w for w in t.split())  # noqa: E731  about 150 symbols in 1,000 characters
+    every = [junk(prose(rng, 80)) if i % 5 < 2 else prose(rng, 80) for i in range(200)]
+    rows = [(i, t, "en", "a", None, "x", "y", "z") for i, t in enumerate(every)]
+    import corpus_pipeline
+
+    got = {r.doc_id for r in corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert got == {i for i in range(200) if i % 5 >= 2}

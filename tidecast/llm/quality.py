@@ -20,6 +20,10 @@ from tidecast.llm.common import Scratch, table
 class QualitySpec:
     """A rule's fence is quartile + reach * max(interquartile range, least spread).
 
+    With clean_half each fence is taken from the half of the sketch away from it: for the upper
+    one, twice the way from the first quartile to the median stands for the interquartile range
+    and the median plus half of that for the third quartile (the same in a symmetric group), so
+    that bad rows do not widen it while they are less than half of a group.
     least_spread keeps a uniform group from rejecting its own normal rows; a group with fewer
     than min_rows measured rows uses the merged sketch above it.
     """
@@ -27,6 +31,7 @@ class QualitySpec:
     min_words: int = 50
     max_repeat_percent: int = 50
     reach: int = 6
+    clean_half: bool = False
     min_rows: int = 100
     least_spread: dict[str, int] = field(default_factory=lambda: {"symbols": 5, "upper": 10, "repeats": 80, "dup_lines": 100, "density": 10})
     #: Rules that also have a lower fence.
@@ -97,14 +102,21 @@ def _fences(bins: DataFrame, keys: list[str], spec: QualitySpec) -> DataFrame:
     q = run.groupBy(*keys, "rule").agg(
         F.max("total").alias("n"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))).alias("q2"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"),
     )
     aggs = []
     for rule, least in spec.least_spread.items():
-        reach = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * spec.reach
+        q1, q2, q3 = F.col("q1"), F.col("q2"), F.col("q3")
+        if spec.clean_half:
+            hi = q2 * 2 - q1 + F.greatest((q2 - q1) * 2, F.lit(least)) * spec.reach
+            lo = q2 * 2 - q3 - F.greatest((q3 - q2) * 2, F.lit(least)) * spec.reach
+        else:
+            reach = F.greatest(q3 - q1, F.lit(least)) * spec.reach
+            hi, lo = q3 + reach, q1 - reach
         mine = F.col("rule") == rule
-        aggs.append(F.max(F.when(mine, F.col("q3") + reach)).alias(f"hi_{rule}"))
-        aggs.append(F.max(F.when(mine, F.col("q1") - reach if rule in spec.two_sided else F.lit(-1))).alias(f"lo_{rule}"))
+        aggs.append(F.max(F.when(mine, hi)).alias(f"hi_{rule}"))
+        aggs.append(F.max(F.when(mine, lo if rule in spec.two_sided else F.lit(-1))).alias(f"lo_{rule}"))
     return q.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
 
 
