@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidecast.llm import embedding_dedup, html_extract, lm_scoring, mixing, near_dedup, quality, sentencepiece_codec, sharding, token_counts, url_filters
+from tidecast.llm import embedding_dedup, filter_audit, html_extract, lm_scoring, mixing, near_dedup, quality, quality_classifier, sentencepiece_codec, sharding, token_counts, url_filters, variants
 from tidecast.llm.oracle import SQL
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_embedding_near_dedup": embedding_dedup.op8,
     "op9_url_filters": url_filters.op9,
     "op10_token_counts": token_counts.op10,
+    "op11_spelling_variants": variants.op11,
+    "op12_filter_audit": filter_audit.op12,
+    "op13_quality_classifier": quality_classifier.op13,
 }
 
 __all__ = ["QUERIES", "SQL"]
