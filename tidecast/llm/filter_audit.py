@@ -56,15 +56,17 @@ def own_failures(docs: DataFrame, spec: AuditSpec) -> DataFrame:
     return q.select(*_ID, bits.alias("bits"))
 
 
-def copies(docs: DataFrame, own: DataFrame) -> DataFrame:
+def copies(docs: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, part, h, h2 of the rows whose text is that of a smaller doc_id.
 
-    Texts move only where their hash occurs under two ids. The right side of the semi join is
-    the smallest id of each text, added up before the shuffle, so a text with any number of
-    copies meets one row; its copies on the left are dealt out by the skew join.
+    Texts whose hash occurs under two ids are found by one shuffle, at every size the same
+    (how many there are grows with the corpus, so they are never broadcast), and written. The
+    right side of the semi join is the smallest id of each text, added up before the shuffle,
+    so a text with any number of copies meets one row; its copies on the left are dealt out
+    by the skew join.
     """
     ids = own.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    rows = _keyed(docs).join(ids, "h", "left_semi")
+    rows = scratch.write(_keyed(docs).join(ids.hint("merge"), "h", "left_semi"), "repeated")
     first = rows.groupBy(F.col("h").alias("fh"), F.col("t").alias("ft")).agg(F.min("doc_id").alias("first"))
     same = (F.col("h") == F.col("fh")) & (F.col("t") == F.col("ft")) & (F.col("first") < F.col("doc_id"))
     return rows.join(first, same, "left_semi").select(*_ID)
@@ -74,7 +76,7 @@ def combinations(docs: DataFrame, labels: DataFrame, spec: AuditSpec = AuditSpec
     """part, bits (the set of failed filters) and the number of rows: n, good, toxic."""
     scratch = Scratch(docs.sparkSession, "filter-audit")
     own = scratch.write(own_failures(docs, spec), "own")
-    marked = copies(docs, own).select(*_ID, F.lit(BIT["E"]).alias("bits"), F.lit(0).alias("rows"))
+    marked = copies(docs, own, scratch).select(*_ID, F.lit(BIT["E"]).alias("bits"), F.lit(0).alias("rows"))
     failed = own.select(*_ID, "bits", F.lit(1).alias("rows")).unionByName(marked)
     rows = failed.groupBy(*_ID).agg(F.bit_or("bits").alias("bits"), F.sum("rows").alias("rows"))
     marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
