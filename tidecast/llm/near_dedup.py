@@ -3,8 +3,8 @@
 One-permutation hashing with optimal densification gives each text a signature; bands of the
 signature are buckets; each bucket emits star-shaped candidate edges (every member to one
 centre), which are confirmed on the full shingle sets. Buckets that still hold pairs nobody
-compared (a shared template fills them) are settled exactly, by the rarest shingles of their
-members. Connected components of the confirmed links are the groups.
+compared (a shared template fills them) are settled exactly, by what sets their
+members apart from each other. Connected components of the confirmed links are the groups.
 """
 
 from __future__ import annotations
@@ -95,60 +95,106 @@ def shingles_udf(k: int):
     return shingles
 
 
-#: Shingles are ranked by the count of their slot, so ranks need a table of fixed size only.
-SLOTS = 1 << 17
+#: Rows and shingles of a block of rows that one task compares with another block.
+BLOCK_ROWS, BLOCK_ITEMS = 1 << 10, 1 << 19
 
 
-def prefix_udf(counts: np.ndarray, percent: int):
-    """The rarest shingles of a set, by (count of the slot, shingle): enough to meet every partner.
+def most_apart(size, percent: int):
+    """Largest symmetric difference of two sets that are similar enough; size: items of both together."""
+    return size - 2 * -(-size * percent // (100 + percent))
 
-    Of two sets that are similar enough, the first n - ceil(percent * n) + 1 of the larger and the
-    first n - ceil(2 * percent / (1 + percent) * n) + 1 of the smaller (``lead``) share a shingle.
-    """
 
-    @F.arrow_udf("array<struct<s:bigint,lead:boolean>>")
-    def prefix(sets: pa.Array) -> pa.Array:
-        off, parts, lead = [0], [], []
-        for x in sets:
-            s = x.values.to_numpy(zero_copy_only=False)
-            n = len(s)
-            size = n + n * percent // -100 + 1
-            s = s[np.lexsort((s, counts[s & (SLOTS - 1)]))[:size]]
-            parts.append(s)
-            lead.append(np.arange(len(s)) < n + 2 * percent * n // -(100 + percent) + 1)
-            off.append(off[-1] + len(s))
-        s, first = (np.concatenate(a) if a else np.empty(0, d) for a, d in ((parts, np.int64), (lead, bool)))
-        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(s), pa.array(first)], ["s", "lead"]))
+def shared_items(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many items each set of ``a`` shares with each of ``b``, by the rows that meet in an item."""
+    out = np.zeros(len(a) * len(b), np.int64)
+    flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b)]
+    order = [np.argsort(v, kind="stable") for v in flat]
+    items, mine = flat[1][order[1]], flat[0][order[0]]
+    lo, hi = np.searchsorted(items, mine), np.searchsorted(items, mine, "right")
+    met = np.flatnonzero(hi > lo)
+    upto = np.cumsum((hi - lo)[met])
+    at = 0
+    while at < len(met):  # a bounded number of meetings at a time
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 22), "right")))
+        k = met[at:to]
+        n = hi[k] - lo[k]
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[k], n)
+        out += np.bincount(np.repeat(row[0][order[0][k]], n) * len(b) + row[1][order[1][pos]], minlength=len(out))
+        at = to
+    return out.reshape(len(a), len(b))
+
 
-    return prefix
+def linked(sets: list[np.ndarray], first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (of rows marked ``first``, of the others; of all rows if none is left) of all links.
+
+    With D = set Δ centre, two sets differ by |Da| + |Db| - 2 |Da ∩ Db|, whatever the centre. The
+    centre is what most of these sets hold, so a template that they share is in no D, and the
+    items to be compared are those that set the rows apart.
+    """
+    items, times = np.unique(np.concatenate(sets), return_counts=True)
+    centre = items[times * 2 > len(sets)]
+    apart = [np.setxor1d(s, centre, assume_unique=True) for s in sets]
+    n, m = (np.array([len(x) for x in y]) for y in (sets, apart))
+    a = np.flatnonzero(first)
+    b = np.flatnonzero(~first) if not first.all() else a
+    shared = shared_items([apart[i] for i in a], [apart[i] for i in b])
+    near = m[a][:, None] + m[b] - 2 * shared <= most_apart(n[a][:, None] + n[b], percent)
+    x, y = np.nonzero(near)
+    return a[x], b[y]
+
+
+def merged(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, smallest root joined to it) of the groups that links between rows a and b join."""
+    names, code = np.unique(roots, return_inverse=True)
+    x, y = code[a], code[b]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
 
 
 def _open_rows(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(row, root) of the rows of buckets that hold a pair of two groups without a centre in it."""
+    """(c, row, root) of the rows of buckets, with their centre, that hold a pair of two groups without a centre in it."""
     far = buckets.where("m > 2 and row != c1 and row != c2").join(roots.withColumnRenamed("node", "row"), "row", "left")
-    far = far.select("key", "row", F.coalesce("root", "row").alias("root"))
+    far = far.select("key", "row", F.col("c1").alias("c"), F.coalesce("root", "row").alias("root"))
     spans = far.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    return far.join(spans, "key", "left_semi").select("row", "root").distinct()
-
-
-def _prefix_pairs(open_rows: DataFrame, sets: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of two groups that share a rare shingle: all that can be similar enough."""
-    held = scratch.write(sets.join(open_rows, "row"), "open-sets")
-    slots = held.select(F.explode("s").alias("s")).groupBy(F.col("s").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.count("*").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    entries = held.select("row", "root", F.size("s").alias("n"), F.explode(prefix_udf(counts, spec.percent)("s")).alias("p")).select("row", "root", "n", "p.*")
-    entries = scratch.write(entries, "prefixes")
-    spans = entries.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("lead").alias("lead")).where("lo != hi and lead")
-    entries = scratch.write(entries.join(spans, "s", "left_semi"), "shared-prefixes")
-    # by pairs of groups first: members of one group, however large, never meet each other
-    of = entries.groupBy("s", "root").agg(F.max("lead").alias("lead"))
-    groups = of.where("lead").select("s", F.col("root").alias("ra")).join(of.select("s", F.col("root").alias("rb")), "s").where("ra != rb")
-    small = entries.where("lead").select("s", F.col("root").alias("ra"), F.col("row").alias("a"), F.col("n").alias("na"))
-    large = entries.select("s", F.col("root").alias("rb"), F.col("row").alias("b"), F.col("n").alias("nb"))
-    both = groups.join(small, ["s", "ra"]).join(large, ["s", "rb"])
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return scratch.write(both.where(ordered & (F.col("na") * 100 >= F.col("nb") * spec.percent)).select("a", "b").distinct(), "edges3")
+    return far.join(spans, "key", "left_semi").select("c", "row", "root").distinct()
+
+
+def _settled(open_rows: DataFrame, sets: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between groups that hold a link between rows of one centre: all of them, compared exactly.
+
+    The rows of a centre are dealt into blocks of a bounded size; every two blocks meet in a
+    task, which returns the groups that its links join, so its output is never larger than
+    its input, however many rows are just above or below the limit.
+    """
+    rows = scratch.write(open_rows.join(sets.select("row", F.size("s").alias("n")), "row"), "open-sizes")
+    plan = rows.groupBy("c").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("items") / BLOCK_ITEMS))
+    dealt = rows.join(plan.select("c", blocks.alias("blocks")), "c").withColumn("own", F.pmod(F.xxhash64("row"), "blocks"))
+    dealt = dealt.select("c", "row", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("c", "row", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own") <= F.col("other"))
+    dealt = dealt.toDF("c", "row", "root", "i", "j", "first")
+
+    def settle(part: pa.Table) -> pa.Table:
+        found = np.empty(0, np.int64), np.empty(0, np.int64)
+        roots = part["root"].to_numpy()
+        first = part["first"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+        if (roots != roots[0]).any() and first.any():
+            held = [v.values.to_numpy(zero_copy_only=False) for chunk in part["s"].chunks for v in chunk]
+            found = merged(roots, *linked(held, first, spec.percent))
+        return pa.table({"a": found[0], "b": found[1]})
+
+    both = dealt.join(sets, "row")
+    return scratch.write(both.groupBy("c", "i", "j").applyInArrow(settle, "a long, b long").distinct(), "edges3")
 
 
 def _confirmed(sets: DataFrame, edges: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame:
@@ -168,8 +214,8 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
        bucket once. 2. Each bucket links its members to its smallest row. 3. Buckets that still
        span several groups link members of other groups to a second centre, picked by another
        order in each bucket, so a centre that happens to be unlike the others hides no link.
-    4. Members of buckets that still hold two groups besides the centres are joined by their
-    rarest shingles, which finds every link between them.
+    4. Members of buckets that still hold two groups besides the centres are compared block by
+    block, by what sets them apart from their template, which finds every link between them.
     """
     own = signed.select("row", "sig.n", F.col("sig.a").alias("ha"), F.col("sig.b").alias("hb"))
     classes = scratch.write(own.where("n > 0").groupBy("ha", "hb", "n").agg(F.min("row").alias("rep")), "classes")
@@ -197,7 +243,7 @@ def _groups(signed: DataFrame, spec: NearDupSpec, scratch: Scratch) -> DataFrame
         roots = scratch.write(connected_components(links, scratch), "roots2")
     rest = scratch.write(_open_rows(buckets, roots), "open")
     if not rest.isEmpty():
-        links = links.union(_confirmed(sets, _prefix_pairs(rest, sets, spec, scratch), spec, scratch))
+        links = links.union(_settled(rest, sets, spec, scratch))
         roots = scratch.write(connected_components(links, scratch), "roots3")
     scratch.drop(sets)
     out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("root"))
