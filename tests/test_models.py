@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidecast.models import arx, boost, gbt, structural
+from tidecast.models import arx, gbt, structural
 from tidecast.models.trend_weekday import trend_weekday
 from tidecast.operators import features
 
@@ -65,27 +65,54 @@ def test_arx_recursive_uses_no_future_actuals(spark):
     assert np.allclose(out.fcst.to_numpy(), out2.fcst.to_numpy())
 
 
-def test_booster_learns_a_step():
-    rng = np.random.default_rng(0)
-    X = rng.uniform(0, 10, (600, 3))
-    y = np.where(X[:, 1] > 5, 10.0, 0.0) + rng.normal(0, 0.1, 600)
-    p = {"learning_rate": 0.25, "max_depth": 2, "num_leaves": 3, "min_data_in_leaf": 10, "num_iterations": 100}
-    pred = boost.boost_fit_predict(X, y, np.array([[1, 9, 1], [1, 1, 1]], float), p)
-    assert abs(pred[0] - 10) < 0.5 and abs(pred[1]) < 0.5
+TREE = {"max_depth": 2, "min_data_in_leaf": 5, "learning_rate": 0.5, "num_leaves": 3, "num_iterations": 8, "param_id": 1}
 
 
-def test_boost_and_global_gbt_run(spark):
-    ds, y = series_rows(300)
-    base = spark.createDataFrame([("s", d, int(v)) for d, v in zip(ds, y)], "series_id string, ds date, y bigint")
-    hol = spark.createDataFrame([(D(2021, 5, 1), "Labour Day", 1)], "ds date, holiday string, is_ph int")
-    ff = features.feature_frame(base, hol).withColumn(
-        "role", F.when(F.col("ds") < D(2021, 9, 1), "train").otherwise("test"))
-    p = {"max_depth": 2, "min_data_in_leaf": 10, "learning_rate": 0.25, "num_leaves": 3, "num_iterations": 50,
-         "param_id": 1}
-    out = boost.forecast_boost(ff, [p], ["series_id"]).toPandas()
-    assert len(out) == (ff.where("role = 'test'").count()) and out.fcst.notna().all()
-    g = gbt.fit_predict(ff.where("role = 'train'"), ff.where("role = 'test'"), dict(p, num_iterations=5)).toPandas()
-    assert len(g) == len(out)
+def test_binned_features_keep_the_order_and_missing_values_apart(spark):
+    rows = spark.createDataFrame([(i, float(i % 200), None if i % 10 == 0 else i % 3) for i in range(1000)], "k int, x double, c int")
+    out = gbt.binned(rows, ["x", "c"]).toPandas().sort_values("k")
+    x, c = (np.array([v[j] for v in out.features]) for j in (0, 1))
+    true = np.arange(1000) % 200
+    assert list(out.columns) == ["k", "features"] and len(set(x)) <= 63
+    assert all(x[true == a].max() <= x[true == b].min() for a, b in ((0, 60), (60, 130), (130, 199)))
+    assert set(c[::10]).isdisjoint(c[np.arange(1000) % 10 != 0]) and c.max() < gbt.BINS
+
+
+def test_tree_folds_fit_each_set_on_its_train_rows_only(spark):
+    """Levels that change between folds: a fold's forecasts follow its own training rows."""
+    days = [D(2021, 1, 4) + dt.timedelta(days=i) for i in range(120)]
+    rows = [(s, d, d.weekday(), level + 5.0 * d.weekday() + (40.0 if i >= 60 else 0.0)) for s, level in (("a", 10), ("b", 80)) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows + [("new", days[55], 1, None)], "series_id string, ds date, wday int, y double")
+
+    def halves(x):
+        i = F.datediff("ds", F.lit("2021-01-04").cast("date"))
+        return x.withColumn("fold", F.floor(i / 60).cast("int") + 1).withColumn("role", F.when(i % 60 < 50, "train").otherwise("test"))
+
+    grid = [TREE, dict(TREE, param_id=7, num_iterations=1)]
+    out = gbt.forecast_folds(df, grid, halves, ["wday"]).toPandas()
+    assert out.groupby(["fold", "param_id"]).size().to_dict() == {(1, 1): 21, (1, 7): 21, (2, 1): 20, (2, 7): 20}  # a series without history too
+    best = out[(out.param_id == 1) & (out.series_id != "new")]
+    assert (best.fcst - best.actual).abs().max() < 6 and (best.fcst - best.actual).abs().mean() < 2.5
+    assert out[out.param_id == 1].fcst.tolist() != out[out.param_id == 7].fcst.tolist()
+    empty = gbt.forecast_folds(df.limit(0), grid, halves, ["wday"])
+    assert empty.columns == ["series_id", "fold", "param_id", "ds", "actual", "fcst"] and empty.count() == 0
+    try:
+        gbt.forecast_folds(df, [dict(TREE, learning_rate=1.5, param_id=3)], halves, ["wday"])
+    except ValueError as e:
+        assert "1.5" in str(e) and "3" in str(e)
+        return
+    raise AssertionError("a step size above 1 must be refused")
+
+
+def test_tree_sets_are_numbered_as_the_grid(spark):
+    from tidecast.operators import folds
+    from tidecast.plans import catalog
+
+    keys = spark.createDataFrame([("s",)], "series_id string")
+    grid = {r.param_id: r for r in folds.tree_grid(keys, catalog.TREE_GRID).collect()}
+    assert len(grid) == 180 and len(catalog.TREE_SETS) == 8
+    for p in catalog.TREE_SETS:
+        assert all(grid[p["param_id"]][k] == p[k] for k in ("max_depth", "min_data_in_leaf", "learning_rate", "num_iterations"))
 
 
 def test_trend_weekday_exact_on_clean_data(spark):
@@ -150,8 +177,6 @@ def test_short_series_keep_their_test_rows(spark):
     assert set(ax[ax.series_id == "s120"].status) == {"fitted"} and set(ax[ax.series_id == "s005"].status) == {"mean"}
     assert (ax[ax.series_id == "s120"].fcst - ax[ax.series_id == "s120"].actual).abs().max() < 1e-3
     check_short(structural.forecast_structural(rows, [{"param_id": 1}], ["series_id"]).toPandas())
-    p = {"learning_rate": 0.25, "max_depth": 2, "num_leaves": 3, "min_data_in_leaf": 10, "num_iterations": 20, "param_id": 1}
-    check_short(boost.forecast_boost(rows, [p], ["series_id"], features=["wday", "yearday"]).toPandas())
 
 
 def test_components_recombine_to_the_forecast(spark):

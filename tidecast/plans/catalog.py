@@ -532,7 +532,6 @@ def q_sink_full(spark, sf):
 # series at once. SQL cannot state their solvers, so they carry no oracle.
 
 from ..models import arx as arx_model  # noqa: E402
-from ..models import boost  # noqa: E402
 from ..models import gbt as gbt_model  # noqa: E402
 from ..models import structural  # noqa: E402
 
@@ -542,8 +541,23 @@ LIVE_TREE = {"max_depth": 2, "min_data_in_leaf": 10, "learning_rate": 0.25, "obj
 # ---------------------------------------------------------------------------------------------
 
 
-#: Sets that the tree backtest compares: the live one, and a deeper one of fewer rounds.
-TREE_SETS = [dict(LIVE_TREE, param_id=1), dict(LIVE_TREE, max_depth=3, num_leaves=5, num_iterations=100, param_id=2)]
+#: Set of the recursive forecast.
+RECURSIVE_TREE = dict(LIVE_TREE, max_depth=3, num_leaves=5, num_iterations=100)
+
+
+def tree_sets(**picked) -> list[dict]:
+    """The sets of ``TREE_GRID`` with the picked values, numbered as in ``grid_tree``."""
+    import itertools
+    out = []
+    for i, combo in enumerate(itertools.product(*TREE_GRID.values()), 1):
+        p = dict(zip(TREE_GRID, combo), param_id=i)
+        if all(p[k] in v for k, v in picked.items()):
+            out.append(dict(p, num_iterations={0.25: 300, 0.5: 200}.get(p["learning_rate"], 100)))
+    return out
+
+
+#: Sets that the tree backtest compares: eight of the grid, of 100 rounds each.
+TREE_SETS = tree_sets(learning_rate=[1.0], max_depth=[2, 3], min_data_in_leaf=[10, 20, 30, 50])
 
 
 def _structural_grid():
@@ -606,16 +620,20 @@ def _gbt_frames(spark, sf):
     return testbed.cv_slice(ff), testbed.test_slice(ff)
 
 
-def _tree_rows(spark, sf):
-    ff = features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
-    return testbed.fixed_split(ff).withColumn("role", F.col("split")).drop("split")
+def _tree_frame(spark, sf):
+    return features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
+
+
+def _hold_out(x):
+    """One fold: the CV window to train on, the test window to score."""
+    return testbed.fixed_split(x).withColumn("role", F.col("split")).drop("split").withColumn("fold", F.lit(1))
 
 
 @register("forecast_gbt")
 def q_forecast_gbt(spark, sf):
-    """One booster per series (as the original), fitted on the CV window, scored on the test window."""
-    fc = boost.forecast_boost(_tree_rows(spark, sf), [dict(LIVE_TREE, param_id=1)], [S])
-    return fc.drop("param_id")
+    """The live tree set on binned features, fitted on the CV window, scored on the test window."""
+    fc = gbt_model.forecast_folds(_tree_frame(spark, sf), [dict(LIVE_TREE, param_id=1)], _hold_out)
+    return fc.drop("param_id", "fold")
 
 
 @register("forecast_gbt_global")
@@ -632,20 +650,21 @@ def q_forecast_gbt_recursive(spark, sf):
     hist, n = testbed.modelling_series(spark, sf), series.default_horizon("D")
     long = series.extend_horizon(hist, n, "D")
     ff = features.feature_frame(long, testbed.holidays(spark, sf, long))
-    model, level = gbt_model.fit(ff.where(F.col("y").isNotNull()), TREE_SETS[1])
+    model, level = gbt_model.fit(ff.where(F.col("y").isNotNull()), RECURSIVE_TREE)
     return gbt_model.forecast_recursive(model, level, hist, ff.where(F.col("y").isNull()), n)
 
 
-def _tree_folds(spark, sf, grid):
-    ff = features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
-    return boost.forecast_boost(_rolling(ff), grid, [S, "fold"])
+def _wide_folds(x):
+    """The CV window expanded to a few rolling folds, half a year apart, for models with costly fits."""
+    return folds.expand_rolling(testbed.cv_slice(x), T.cv_start, T.cv_end, T.roll_train, T.roll_horizon, T.wide_step)
 
 
 @register("backtest_gbt")
 def q_backtest_gbt(spark, sf):
-    """Tree grid over rolling folds: mean fold KPI per series and set (no scored fold → inf),
-    lowest chosen. Each fold and set is fitted once."""
-    mean = _fold_scores(cut_lineage(_tree_folds(spark, sf, TREE_SETS)), [S, "param_id"])
+    """Tree sets of the grid over rolling folds: mean fold KPI per series and set (no scored fold
+    → inf), lowest chosen. Each fold and set is one ``pyspark.ml`` fit over all series."""
+    fc = cut_lineage(gbt_model.forecast_folds(_tree_frame(spark, sf), TREE_SETS, _wide_folds))
+    mean = _fold_scores(fc, [S, "param_id"])
     best = scoring.best_params(mean, [S], "cv_mean_wkpi").select(S, F.col("param_id").alias("_best"))
     return mean.join(best, S).withColumn("is_best", F.col("param_id") == F.col("_best")).drop("_best")
 
@@ -670,10 +689,10 @@ def q_ensemble_forecast(spark, sf):
 
 
 def _cv_boards(spark, sf):
-    """Mean fold score of each model over the rolling folds, with the sets of the hold-out forecasts."""
-    parts = {"structural": _structural_folds(spark, sf, _structural_grid()[:1]),
-             "arx": arx_model.forecast_arx(_rolling(_arx_rows(spark, sf)), [S, "fold"]),
-             "gbt": _tree_folds(spark, sf, TREE_SETS[:1])}
+    """Mean fold score of each model over the same wide folds (trees: the first set of the backtest)."""
+    parts = {"structural": _structural_folds(spark, sf, _structural_grid()[:1], _wide_folds),
+             "arx": arx_model.forecast_arx(_wide_folds(_arx_rows(spark, sf)), [S, "fold"]),
+             "gbt": gbt_model.forecast_folds(_tree_frame(spark, sf), TREE_SETS[:1], _wide_folds)}
     rows = [fc.select(S, F.lit(name).alias("model"), "fold", "actual", "fcst") for name, fc in parts.items()]
     return _fold_scores(cut_lineage(rows[0].unionByName(rows[1]).unionByName(rows[2])), [S, "model"])
 
@@ -688,8 +707,8 @@ def q_model_scoreboard(spark, sf):
     return board.join(_cv_boards(spark, sf), [S, "model"], "left")
 
 
-def _structural_folds(spark, sf, grid):
-    rows = _rolling(testbed.modelling_series(spark, sf)).select(S, "fold", "ds", "y", "role")
+def _structural_folds(spark, sf, grid, folds_of=_rolling):
+    rows = folds_of(testbed.modelling_series(spark, sf)).select(S, "fold", "ds", "y", "role")
     return structural.forecast_structural(rows, grid, [S, "fold"], structural.INTAKE_SPEC, _windows(spark, sf))
 
 

@@ -38,6 +38,7 @@ class TimeParams:
     roll_train: int = 730
     roll_horizon: int = 60
     roll_step: int = 30
+    wide_step: int = 480
     cutoff_horizon: int = 60
 
 
