@@ -115,6 +115,56 @@ def test_tree_sets_are_numbered_as_the_grid(spark):
         assert all(grid[p["param_id"]][k] == p[k] for k in ("max_depth", "min_data_in_leaf", "learning_rate", "num_iterations"))
 
 
+def test_sparse_fit_minimises_its_objective():
+    rng = np.random.default_rng(2)
+    X, pen, h = rng.normal(size=(80, 9)), np.full(9, 0.3), slice(2, 7)
+    y = X @ np.array([1, -2, 0, 0, 3, 0, 0, 0.5, 1]) + rng.normal(0, 0.3, 80)
+
+    def cost(b, weight):
+        rest = np.delete(b, np.r_[h])
+        return ((y - X @ b) ** 2).sum() / 2 + (0.3 * rest ** 2).sum() / 2 + weight * np.abs(b[h]).sum()
+
+    for weight in (0.0, 20.0, 1e6):
+        b = structural.sparse_fit(X.T @ X, X.T @ y, pen, h, weight)
+        assert all(cost(b, weight) <= cost(b + 1e-3 * rng.normal(size=9) * (b != 0), weight) + 1e-9 for _ in range(50))
+        assert all(cost(b, weight) <= cost(b + e, weight) + 1e-9 for e in np.eye(9) * 1e-3)
+    assert np.flatnonzero(structural.sparse_fit(X.T @ X, X.T @ y, pen, h, 20.0)[h]).tolist() == [2]
+    assert not structural.sparse_fit(X.T @ X, X.T @ y, pen, h, 1e6)[h].any()
+
+
+def test_one_planted_bend_is_found_and_hinges_away_from_it_are_zero():
+    n, spec = 1000, structural.StructuralSpec(seasonalities=(("weekly", 7.0, 3),), mode="additive")
+    ts = np.arange(n) / (n - 1)
+    knots = np.linspace(0, spec.changepoint_range, spec.n_changepoints + 1)[1:]
+    rng = np.random.default_rng(5)
+    y = 100 + 40 * ts + 90 * np.maximum(0, ts - knots[11]) + 3 * np.sin(2 * np.pi * np.arange(n) / 7) + rng.normal(0, 0.5, n)
+    pdf = pd.DataFrame({"ds": [D(2020, 1, 1) + dt.timedelta(days=i) for i in range(n)], "t": np.arange(n) + 18262.0, "y": y, "role": "train"})
+    _, _, _, changes = next(structural._solve(structural._group(pdf, spec, []), [{"changepoint_prior_scale": 0.0003, "param_id": 1}], spec))
+    # neighbours of the planted hinge, 32 days apart, take some of the bend; the other 22 are exactly 0
+    assert set(np.flatnonzero(changes)) <= {10, 11, 12} and changes.argmax() == 11
+    assert abs(changes.sum() - 90) < 9 and changes[11] > 55
+
+
+def test_bands_widen_and_cover(spark):
+    """Random-walk slopes: the band at 60 days is wider than at 10, and holds about 80 % of the actuals."""
+    n, series_n, h = 700, 60, 60
+    rows = []
+    for k in range(series_n):
+        rng = np.random.default_rng(k)
+        days = np.arange(n)  # rates change in the part of the training that has hinges, and again from its end on
+        slope = np.cumsum(rng.laplace(0, 0.25, n) * (rng.random(n) < 0.04) * ((days < 0.8 * (n - h)) | (days >= n - h)))
+        y = 200 + np.cumsum(slope) + rng.normal(0, 3, n)
+        rows += [(f"s{k}", D(2020, 1, 1) + dt.timedelta(days=i), float(v), "train" if i < n - h else "test") for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series_id string, ds date, y double, role string")
+    spec = structural.StructuralSpec(seasonalities=(), mode="additive")
+    out = structural.forecast_structural(df, [{"changepoint_prior_scale": 0.5, "param_id": 1}], ["series_id"], spec).toPandas()
+    out["ahead"] = out.groupby("series_id").ds.rank()
+    near, far = out[out.ahead <= 10], out[out.ahead > 50]
+    assert (far.hi - far.lo).mean() > 1.5 * (near.hi - near.lo).mean()
+    inside = lambda x: ((x.actual >= x.lo) & (x.actual <= x.hi)).mean()
+    assert 0.65 <= inside(near) <= 0.95 and 0.6 <= inside(far) <= 0.95, (inside(near), inside(far))
+
+
 def test_trend_weekday_exact_on_clean_data(spark):
     ds = [D(2022, 1, 3) + dt.timedelta(days=i) for i in range(56)]
     f = [1.2, 1.1, 1.0, 1.0, 0.9, 0.8, 1.0]

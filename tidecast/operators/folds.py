@@ -1,8 +1,7 @@
 """Backtest folds, parameter grids and the expansion of series rows into folds.
 
 A fold table has ``fold, train_start, train_end, test_start, test_end`` with half-open
-ranges ``[train_start, train_end)`` and ``[test_start, test_end)``. Its size is bounded by
-the days of the range (at most one fold per day), so it is broadcast.
+ranges ``[train_start, train_end)`` and ``[test_start, test_end)``.
 """
 
 from __future__ import annotations
@@ -11,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SERIES, lit_date
-
-
+from .intervals import interval_join
 
 
 def folds_rolling(bounds: DataFrame, train_days: int, horizon: int, step: int) -> DataFrame:
@@ -60,14 +58,11 @@ def folds_cutoff(bounds: DataFrame, horizon: int, drop_first: int = 1, min_train
 
 
 def fold_expand(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """Every row into every fold whose train or test range holds its day, tagged ``role``.
-
-    One broadcast range join replaces the fold loop. The fold table is bounded by the days of
-    the range, so broadcasting it is safe.
-    """
-    f = F.broadcast(folds.select("fold", "train_start", "train_end", "test_start", "test_end"))
-    j = df.join(f, (F.col("ds") >= F.col("train_start")) & (F.col("ds") < F.col("test_end"))
-                & ((F.col("ds") < F.col("train_end")) | (F.col("ds") >= F.col("test_start"))))
+    """Every row into every fold whose train or test range holds its day, tagged ``role``: one
+    interval join by day buckets."""
+    f = folds.select("fold", "train_start", "train_end", "test_start", "test_end")
+    f = f.withColumns({"_train_last": F.date_sub("train_end", 1), "_test_last": F.date_sub("test_end", 1)})
+    j = interval_join(df, f, [("train_start", "_train_last"), ("test_start", "_test_last")]).drop("_train_last", "_test_last")
     return j.withColumn("role", F.when(F.col("ds") < F.col("train_end"), F.lit("train")).otherwise(F.lit("test")))
 
 

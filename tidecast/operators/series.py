@@ -14,6 +14,7 @@ from ..functions.dates import bucket_label, date_range
 from ..functions.numeric import parse_grouped_number
 from ..functions.dates import day_first_date
 from .common import SERIES
+from .intervals import interval_join
 
 
 # ---------------------------------------------------------------- calendar and densify --
@@ -75,14 +76,13 @@ def _independent(rules) -> bool:
 
 
 def _copy_pass(df: DataFrame, rules_df: DataFrame, series: str) -> DataFrame:
-    """One read of ``df``: tag rows with the rule windows they fall in (broadcast range join
-    to the few rules, rows in none keep a null rule), rank each side by day with running
+    """One read of ``df``: tag rows with the rule windows they fall in (interval join by day
+    buckets, rows in none keep a null rule), rank each side by day with running
     counts, pair a target with the source of the same rank by a lag over (rank, side), then
     one aggregate per (series, day) keeps the last rule's value or the original."""
-    r = F.broadcast(rules_df)  # a handful of user rules
     in_t = F.col("ds").between(F.col("t0"), F.col("t1"))
     in_s = F.col("ds").between(F.col("s0"), F.col("s1"))
-    x = df.select(series, "ds", "y").join(r, in_t | in_s, "left")
+    x = interval_join(df.select(series, "ds", "y"), rules_df, [("t0", "t1"), ("s0", "s1")], how="left")
     sides = F.filter(F.array(F.when(in_s, F.lit(0)), F.when(in_t, F.lit(1))), lambda v: v.isNotNull())
     x = x.withColumn("side", F.explode_outer(sides))  # 0 = source, 1 = target
     by_day = Window.partitionBy(series, "rule").orderBy("ds", "side").rowsBetween(Window.unboundedPreceding, 0)

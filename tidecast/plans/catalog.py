@@ -155,9 +155,14 @@ def q_densify_zero(spark, sf):
     return intake.source_a_daily(spark, sf)
 
 
+def _b_daily(spark, sf):
+    """Daily counts of source B, written once for all that a query reads from them."""
+    return testbed._scoped(("b_daily", sf), lambda: cut_lineage(intake.b_daily_both(spark, sf), "b_daily"))
+
+
 @register("combine_sources")
 def q_combine_sources(spark, sf):
-    return series.combine_sources(intake.source_a_daily(spark, sf), intake.source_b_daily(spark, sf))
+    return series.combine_sources(intake.source_a_daily(spark, sf), intake.source_b_daily(spark, sf, both=_b_daily(spark, sf)))
 
 
 @register("patch_dim")
@@ -167,7 +172,7 @@ def q_patch_dim(spark, sf):
 
 @register("patch_values")
 def q_patch_values(spark, sf):
-    return series.patch_values(q_combine_sources(spark, sf), intake.patch_table(spark, sf))
+    return series.patch_values(q_combine_sources(spark, sf), intake.patch_table(spark, sf, both=_b_daily(spark, sf)))
 
 
 @register("patch_copy")

@@ -125,9 +125,9 @@ def _q(s: str) -> str:
 # Text balance series derived from orders, parsed, trimmed and interpolated.
 BAL = """
 bal_daily AS (
-  SELECT c.c_mktsegment AS series_id, CAST(o.o_orderdate AS DATE) AS d,
+  SELECT coalesce(c.c_mktsegment, 'unknown') AS series_id, CAST(o.o_orderdate AS DATE) AS d,
          sum(CAST(round(o.o_totalprice * 100, 0) AS BIGINT)) AS cents
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2
 ),
 bal_parsed AS (
   SELECT series_id,
