@@ -152,3 +152,21 @@ def test_resample_split_drops_shared_label(spark):
     assert not train_labels & valid_labels
     assert D(2024, 2, 4) in train_labels  # week of the cutoff stays with training
     assert valid_labels == {D(2024, 2, 11)}
+
+
+@pytest.mark.parametrize("sep", ["\t", ",", ";", "|"])
+def test_separator_is_detected(spark, tmp_path, sep):
+    """Grouped numbers hold commas on some lines, one line has no value, quotes hide separators."""
+    number = lambda v: f'"{v:,.2f}"' if sep == "," else f"{v:,.2f}"
+    lines = [f" Date {sep} Open Balances "] + [f"{i % 28 + 1}/3/2021{sep}{number(10.0 ** (i % 7))}" for i in range(60)] + [f'"a{sep}b;c|d"{sep}x', "", "7/3/2021"]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    assert series.detect_separator(spark, str(tmp_path)) == sep
+    out = series.parse_series_text(series.read_series_text(spark, str(tmp_path)))
+    assert out.where("y is not null and ds is not null").count() == 60
+
+
+def test_separator_of_one_column_and_of_no_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Date\n1/1/2021\n")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "e.txt").write_text("")
+    assert series.detect_separator(spark, str(tmp_path / "a.txt")) == "\t" == series.detect_separator(spark, str(tmp_path / "b"))

@@ -121,8 +121,22 @@ def patch_copy(df: DataFrame, rules: list[tuple[str, str, str, str]], series: st
 
 # ---------------------------------------------------------------------- text series --
 
-def read_series_text(spark, path: str, sep: str = "\t") -> DataFrame:
-    """Delimited text with a header, every column read as text, header names trimmed."""
+def detect_separator(spark, path: str, candidates: tuple[str, ...] = ("\t", ",", ";", "|")) -> str:
+    """The separator of delimited text: the candidate whose count per line, outside quotes, is the
+    same non-zero number on the most lines of the whole files (ties: the larger number, then the
+    order of ``candidates``; the first candidate where none occurs). The driver gets one row each."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    lines = spark.read.text(path).where(F.trim("value") != "").select(bare.alias("bare"))
+    each = [F.struct(F.lit(i).alias("i"), (F.length("bare") - F.length(F.replace("bare", F.lit(c)))).alias("n")) for i, c in enumerate(candidates)]
+    counts = lines.select(F.inline(F.array(*each))).where("n > 0").groupBy("i", "n").agg(F.count(F.lit(1)).alias("lines"))
+    best = counts.groupBy("i").agg(F.max(F.struct("lines", "n")).alias("best")).collect()
+    return candidates[min(best, key=lambda r: (-r.best.lines, -r.best.n, r.i)).i] if best else candidates[0]
+
+
+def read_series_text(spark, path: str, sep: str | None = None) -> DataFrame:
+    """Delimited text with a header, every column read as text, header names trimmed; without
+    ``sep`` the separator is detected."""
+    sep = detect_separator(spark, path) if sep is None else sep
     raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
     return raw.toDF(*[c.strip() for c in raw.columns])
 

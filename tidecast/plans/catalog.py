@@ -201,10 +201,10 @@ def q_parse_grouped_number(spark, sf):
 
 @register("load_series_text")
 def q_load_series_text(spark, sf):
-    """Write the derived text series as tab-separated files, read it back and parse it."""
+    """Write the derived text series as tab-separated files, detect the separator, read and parse it."""
     path = scratch_path(spark, "series_text")
     testbed.balance_lines(spark, sf).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
-    return series.parse_series_text(series.read_series_text(spark, path, "\t"))
+    return series.parse_series_text(series.read_series_text(spark, path))
 
 
 @register("drop_nulls")
