@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidecast.llm import filter_audit, quality_classifier, variants
+from tidecast.llm import filter_audit, near_dedup, quality_classifier, variants
 
 DOCS = "doc_id long, text string, lang string, source string, word string, n long, h string, part string, bits string, x string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -306,3 +306,47 @@ def test_classifier_on_odd_tables(spark):
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     assert [r.score for r in quality_classifier.quality_scores(docs_of(spark, rows), none).collect()] == [0.5] * 5
     assert quality_classifier.quality_scores(docs_of(spark, []), labels).collect() == []
+
+
+# ---------------------------------------------------------------- exact step of the near-dedup
+
+
+def test_block_links_equal_brute_force():
+    rng = np.random.default_rng(9)
+    template, sets = rng.integers(-(2**62), 2**62, 120), []
+    for _ in range(60):
+        s = np.concatenate([rng.permutation(template)[: rng.integers(95, 121)], rng.integers(-(2**62), 2**62, rng.integers(0, 12))])
+        sets.append(np.unique(s))
+    sets += [np.array([5]), np.array([5, 6]), sets[0].copy()]
+    shared = lambda a, b: len(set(a.tolist()) & set(b.tolist()))
+    assert near_dedup.shared_items(sets[:20], sets[20:]).tolist() == [[shared(a, b) for b in sets[20:]] for a in sets[:20]]
+    for first in (np.ones(len(sets), bool), np.arange(len(sets)) % 3 == 0):
+        got = set(zip(*(x.tolist() for x in near_dedup.linked(sets, first, 80))))
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        union = lambda a, b: len(a) + len(b) - shared(a, b)
+        want = {(i, j) for i in left.tolist() for j in right.tolist() if 100 * shared(sets[i], sets[j]) >= 80 * union(sets[i], sets[j])}
+        assert got == want and len(want) > len(sets) // 3
+    a, b = near_dedup.merged(np.array([7, 7, 3, 9, 4, 8]), np.array([0, 3, 4]), np.array([2, 4, 4]))
+    assert dict(zip(a.tolist(), b.tolist())) == {7: 3, 9: 4}
+
+
+def test_blocks_of_a_large_centre_meet_each_other(spark, monkeypatch):
+    """Twins among strangers of one template, with blocks of 16 rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    template, rows = fresh(300), []
+    for i in range(60):
+        own = fresh(31)
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:21] + fresh(10)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, near_dedup.NearDupSpec(words=3, percent=85)).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(3)))) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert got == dict(enumerate(root))
