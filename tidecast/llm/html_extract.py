@@ -2,13 +2,14 @@
 
 Every page scores its containers and votes for the generalised tag-class path of the best; the
 votes are counted per host in Spark; each page is then extracted again along its host's winning
-path. A page whose own best container is not nearly all on that path keeps it as well.
+path, from the elements and blocks that its one parse left, together with its own best container.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -18,11 +19,16 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import Scratch, table
 from tidecast.llm.url_filters import host_of
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Starts of comments, declarations and tags, and a tag from its name on: quotes count only after
+#: an equals sign, and one that nothing closes belongs to an unquoted value. Every character is
+#: passed once, so that broken pages cost no more than others.
+_START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_DECLARATION = re.compile(r"<[!?][^>]*>")
+_TAG = re.compile(r"""<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>""")
+_ATTR = re.compile(r"""([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))""")
+_ZEROS = re.compile(r"&#0++(?=[0-9])")
+_LONG_NUMBER = re.compile(r"&#[0-9]{8,}+;?")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -41,6 +47,8 @@ _OUT_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment "
     "comments disqus reply replies respond discussion toolbar pagination pager alert toast complementary contentinfo search".split()
 )
+_DIGITS = re.compile(r"\d+")
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 #: Tags that no class or id removes, and heads of text that only a few words remove.
 _KEEP = frozenset("html body main".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,23 +57,29 @@ _NEGATED = re.compile(r"(?:^|[^a-z])(?:no|has|with|without)[-_]?[a-z]+")
 _NAMED = re.compile(r"(?<![^\s])(?:tag|category|cat|type|format)[-_]\S+")
 #: Words of elements that are left out even where they hold most of a page's text.
 _READERS = frozenset("comment comments disqus reply replies respond discussion".split())
-#: Unlinked characters that make a block a passage of its own.
+#: Unlinked characters that make a block a passage of its own, beside the article in the body itself.
 _PASSAGE = 40
+_BODY = frozenset(["", "html", "body"])
+#: What keeps a paragraph that is open around it from ending.
+_SHIELDS = ("table", "td", "th", "caption", "button")
 #: An opening tag that ends an open paragraph, list item, cell or row.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}, "option": {"select"}}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An element: its parent, the nearest block and the nearest container (itself included)."""
+
     tag: str
-    path: str
+    shape: str
     parent: int
     out: bool
+    block: int = 0
+    box: int = 0
     words: frozenset[str] = frozenset()
     gone: bool = False
     chars: int = 0
-    score: float = 0.0
 
 
 @dataclass
@@ -81,6 +95,13 @@ class Page:
             i = self.nodes[i].parent
 
 
+def _plain(raw: str) -> str:
+    """``raw`` with character references decoded; numbers of any length are read."""
+    if "&#" in raw:
+        raw = _LONG_NUMBER.sub("\ufffd", _ZEROS.sub("&#", raw))
+    return html_lib.unescape(raw)
+
+
 def _out_words(tag: str, classes: str) -> frozenset[str]:
     """Words of class, id and role for which an element would be left out."""
     if tag in _KEEP or tag in _HEADS:
@@ -116,46 +137,55 @@ def parse(html: str) -> Page:
 
 def _parse(html: str, spared: set[int]) -> Page:
     page = Page()
+    nodes = page.nodes
     stack = [0]
+    places: dict[str, list[int]] = defaultdict(list)
     text: list[str] = []
-    linked = [0]
-    links = 0
+    linked = 0
+
+    def nearest(tags) -> int:
+        """Place in the stack of the innermost open element among ``tags``, 0 if none is open."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def flush() -> None:
+        nonlocal linked
         if text:
             clean = " ".join("".join(text).split())
-            if clean and not page.nodes[stack[-1]].out:
-                page.blocks.append((next(i for i in page.up(stack[-1]) if page.nodes[i].tag in _BLOCK or i == 0), clean, linked[0]))
+            if clean and not nodes[stack[-1]].out:
+                page.blocks.append((nodes[stack[-1]].block, clean, min(linked, len(clean))))
             text.clear()
-            linked[0] = 0
+            linked = 0
 
     def add(raw: str) -> None:
-        if raw and not page.nodes[stack[-1]].gone:
-            page.nodes[stack[-1]].chars += len(raw.strip())
-        if raw and not page.nodes[stack[-1]].out:
-            plain = html_lib.unescape(raw)
+        nonlocal linked
+        top = nodes[stack[-1]]
+        if raw and not top.gone:
+            top.chars += len(raw.strip())
+        if raw and not top.out:
+            plain = _plain(raw)
             text.append(plain)
-            if links:
-                linked[0] += len(plain.strip())
+            if places["a"]:
+                linked += len(plain.strip())
 
     def close(to: int) -> None:
-        nonlocal links
-        if any(page.nodes[i].tag in _BLOCK or page.nodes[i].out for i in stack[to:]):
+        if any(nodes[i].tag in _BLOCK or nodes[i].out for i in stack[to:]):
             flush()
-        links -= sum(page.nodes[i].tag == "a" for i in stack[to:])
-        del stack[to:]
+        while len(stack) > to:
+            places[nodes[stack.pop()].tag].pop()
 
     at = 0
-    while m := _TOKEN.search(html, at):
+    while start := _START.search(html, at):
+        kind = start[0][1]
+        m = (_COMMENT if start[0] == "<!--" else _DECLARATION if kind in "!?" else _TAG).match(html, start.start())
+        if m is None:
+            break
         add(html[at : m.start()])
         at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        if kind in "!?":
             continue
-        tag = tag.lower()
+        tag, attrs = m["tag"].lower(), m["attrs"]
         if m["end"]:
-            where = next((k for k in range(len(stack) - 1, 0, -1) if page.nodes[stack[k]].tag == tag), 0)
-            if where:
+            if where := nearest([tag]):
                 close(where)
             elif tag in _BLOCK:
                 flush()
@@ -164,33 +194,36 @@ def _parse(html: str, spared: set[int]) -> Page:
             text.append(" ")
             continue
         if tag in _BLOCK:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if page.nodes[stack[k]].tag == "p"), 0)
-            if k and not any(page.nodes[i].tag in ("table", "td", "th", "caption", "button") for i in stack[k:]):
+            k = nearest(["p"])
+            if k > nearest(_SHIELDS):
                 close(k)
             else:
                 flush()
         if tag in _ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.nodes[stack[k]].tag in _SCOPE[tag] and page.nodes[stack[k]].tag not in _ENDS[tag]:
-                    break
-                if page.nodes[stack[k]].tag in _ENDS[tag]:
-                    close(k)
-                    break
-        attrs = {a[1].lower(): (a[2] or a[3] or a[4] or "").lower() for a in _ATTR.finditer(m["attrs"])}
-        up = page.nodes[stack[-1]]
-        words = _out_words(tag, " ".join(attrs.values()))
-        gone = up.gone or (tag in _OUT_TAGS and tag not in _KEEP)
-        out = up.out or gone or (bool(words) and len(page.nodes) not in spared)
-        if out and not up.out:
-            flush() if tag in _BLOCK else None
-        if tag in _VOID or (m["attrs"].endswith("/") and tag not in _BLOCK):
+            k = nearest(_ENDS[tag])
+            if k > nearest(_SCOPE[tag] - _ENDS[tag]):
+                close(k)
+        named = {}
+        if "=" in attrs:
+            for name, *value in _ATTR.findall(attrs):
+                named.setdefault(name.lower(), "".join(value).lower())
+        parent = stack[-1]
+        up = nodes[parent]
+        words = _out_words(tag, " ".join(named[k] for k in ("class", "id", "role") if k in named))
+        own_head = tag == "header" and bool(places["article"] or places["main"])
+        gone = up.gone or (tag in _OUT_TAGS and tag not in _KEEP and not own_head)
+        out = up.out or gone or (bool(words) and len(nodes) not in spared)
+        if out and not up.out and tag in _BLOCK:
+            flush()
+        if tag in _VOID or (attrs.endswith("/") and tag not in _BLOCK):
             continue
-        shape = ".".join([tag, *(re.sub(r"\d+", "", c) for c in attrs.get("class", "").split())])
-        page.nodes.append(Node(tag, f"{up.path}/{shape}" if tag in _BLOCK else up.path, stack[-1], out, words, gone))
-        stack.append(len(page.nodes) - 1)
-        links += tag == "a"
+        me = len(nodes)
+        shape = ".".join([tag, *(_DIGITS.sub("", c) for c in named.get("class", "").replace("/", ":").split())]) if tag in _BLOCK else ""
+        nodes.append(Node(tag, shape, parent, out, me if shape else up.block, me if tag in _CONTAINER else up.box, words, gone))
+        places[tag].append(len(stack))
+        stack.append(me)
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            end = _RAW_END[tag].search(html, at)
             if not gone:
                 add(html[at : end.start() if end else len(html)])
             at = end.end() if end else len(html)
@@ -201,85 +234,158 @@ def _parse(html: str, spared: set[int]) -> Page:
     return page
 
 
-def best_container(page: Page) -> int:
-    """The element with the most text of its own (all of a block's to its container, half to the
-    next), or the one around it as long as that adds passages that are not mostly links.
-
-    An article or main element around it is taken instead, if there is one.
-    """
-    sums = [[0, 0, 0] for _ in page.nodes]
-    for i, text, linked in page.blocks:
-        worth = max(0, len(text) - linked)
-        inside = [k for k in page.up(i) if page.nodes[k].tag in _CONTAINER or k == 0]
-        for k, part in zip(inside, (1.0, 0.5), strict=False):
-            page.nodes[k].score += part * worth
-        for j, x in enumerate((len(text), linked, int(worth >= _PASSAGE))):
-            sums[i][j] += x
-    best = max(range(len(page.nodes)), key=lambda k: (page.nodes[k].score, -k))
-    for tag in ("article", "main"):
-        for k in page.up(best):
-            if page.nodes[k].tag == tag:
-                return k
-    for k in range(len(page.nodes) - 1, 0, -1):
-        for j in range(3):
-            sums[page.nodes[k].parent][j] += sums[k][j]
-    for k in page.up(best):
-        if page.nodes[k].tag in _CONTAINER:
-            chars, linked, passages = (x - y for x, y in zip(sums[k], sums[best], strict=True))
-            if passages and 3 * linked <= chars:
-                best = k
-    return best
+def _linked(chars: int, linked: int) -> bool:
+    return 3 * linked > chars
 
 
-def text_under(page: Page, roots: set[int]) -> str:
-    return "\n".join(text for i, text, _ in page.blocks if any(k in roots for k in page.up(i)))
+def own_parts(page: Page) -> tuple[int, set[int], set[int]]:
+    """The page's best container, the elements beside it that belong to it, and bare blocks that do.
 
-
-def vote_of(html: str) -> tuple[str, int]:
-    page = parse(html)
-    best = best_container(page)
-    return page.nodes[best].path, len(text_under(page, {best}))
-
-
-def extract(html: str, path: str | None) -> str:
-    """The text along ``path`` if it holds nine tenths of that in the page's own best container;
-    else the text of both, in page order."""
+    Best is the element with the most unlinked text of its own (all of a block's to its container,
+    half to the next), or an article or main element around it. On the way up from it everything
+    beside it that is not mostly links is taken too: in the body itself only what stands there
+    without a container or holds a passage, and beside an article or main element only headings
+    of the first order.
+    """
+    nodes = page.nodes
+    score, chars, linked = ([0] * len(nodes) for _ in range(3))
+    passage, heading = [False] * len(nodes), [n.tag == "h1" and not n.out for n in nodes]
+    for i, text, in_links in page.blocks:
+        worth = max(0, len(text) - in_links)
+        box = nodes[i].box
+        score[box] += 2 * worth
+        if box:
+            score[nodes[nodes[box].parent].box] += worth
+        chars[i] += len(text)
+        linked[i] += in_links
+        passage[i] |= worth >= _PASSAGE
+    best = max(range(len(nodes)), key=lambda k: (score[k], -k))
+    above = list(page.up(best))
+    best = next((k for tag in ("article", "main") for k in above if nodes[k].tag == tag), best)
+    for k in range(len(nodes) - 1, 0, -1):
+        up = nodes[k].parent
+        chars[up] += chars[k]
+        linked[up] += linked[k]
+        passage[up] |= passage[k]
+        heading[up] |= heading[k]
+    line = set(page.up(best))
+    sectioned = nodes[best].tag in ("article", "main")
+
+    def joins(k: int, around: str, apart: bool, says: bool, title: bool) -> bool:
+        if sectioned:
+            return title and around not in _BODY
+        return around not in _BODY or says or not apart
+
+    beside = {
+        k
+        for k, n in enumerate(nodes)
+        if k and k not in line and n.parent in line and n.parent != best and chars[k] and not _linked(chars[k], linked[k])
+        and joins(k, nodes[n.parent].tag, n.tag in _CONTAINER, passage[k], heading[k])
+    }
+    bare = {
+        j
+        for j, (i, text, in_links) in enumerate(page.blocks)
+        if i in line and i != best and not sectioned and not _linked(len(text), in_links)
+    }
+    return best, beside, bare
+
+
+def skeleton(html: str) -> dict:
+    """What extraction needs of a page, from one parse: the tag-class path of its best container
+    and that one's characters; shape and parent of every block element that holds text; element,
+    text, linked characters of every block and whether it belongs to the page's own main text.
+    """
     page = parse(html)
-    best = best_container(page)
+    nodes = page.nodes
+    best, beside, bare = own_parts(page)
+    inside, own = [False] * len(nodes), [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        inside[k] = k == best or (k > 0 and inside[n.parent])
+        own[k] = k == best or k in beside or (k > 0 and own[n.parent])
+    used = {0}
+    for i, _, _ in page.blocks:
+        while i not in used:
+            used.add(i)
+            i = nodes[nodes[i].parent].block
+    number = {k: j for j, k in enumerate(sorted(used))}
+    shapes, k = [], nodes[best].block
+    while k:
+        shapes.append(nodes[k].shape)
+        k = nodes[nodes[k].parent].block
+    return {
+        "path": "".join("/" + x for x in reversed(shapes)),
+        "chars": sum(len(text) for i, text, _ in page.blocks if inside[i]),
+        "shapes": [nodes[k].shape for k in number],
+        "parents": [number[nodes[nodes[k].parent].block] if k else -1 for k in number],
+        "at": [number[i] for i, _, _ in page.blocks],
+        "texts": [text for _, text, _ in page.blocks],
+        "linked": [n for _, _, n in page.blocks],
+        "own": [own[i] or j in bare for j, (i, _, _) in enumerate(page.blocks)],
+    }
+
+
+def extract(page: dict, path: str | None) -> str:
+    """The page's own main text and that of every element on ``path`` that is not mostly links,
+    in page order, from the page's skeleton."""
+    root = [-1] * len(page["shapes"])
     if path is not None:
-        roots = {k for k, n in enumerate(page.nodes) if n.path == path and (n.tag in _BLOCK or k == 0) and not n.out}
-        own = [(len(text), any(k in roots for k in page.up(i))) for i, text, _ in page.blocks if best in page.up(i)]
-        if 10 * sum(n for n, on in own if on) < 9 * sum(n for n, _ in own):
-            roots.add(best)
-        return text_under(page, roots)
-    return text_under(page, {best})
-
-
-def _votes(html: pa.Array) -> pa.Array:
-    found = [vote_of(x.as_py() or "") for x in html]
-    return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["path", "chars"])
-
-
-def _texts(html: pa.Array, path: pa.Array) -> pa.Array:
-    return pa.array([extract(x.as_py() or "", p.as_py()) for x, p in zip(html, path, strict=True)], pa.string())
+        parts = path.split("/")[1:]
+        depth = [0] * len(root)
+        for k, (shape, up) in enumerate(zip(page["shapes"], page["parents"], strict=True)):
+            if k:
+                d = depth[up]
+                depth[k] = d + 1 if 0 <= d < len(parts) and parts[d] == shape else -1
+                root[k] = root[up]
+            if depth[k] == len(parts):
+                root[k] = k
+    chars, linked = [0] * len(root), [0] * len(root)
+    for i, text, n in zip(page["at"], page["texts"], page["linked"], strict=True):
+        if root[i] >= 0:
+            chars[root[i]] += len(text)
+            linked[root[i]] += n
+    ok = [root[k] >= 0 and not _linked(chars[root[k]], linked[root[k]]) for k in range(len(root))]
+    return "\n".join(text for i, text, own in zip(page["at"], page["texts"], page["own"], strict=True) if own or ok[i])
+
+
+_PARTS = {
+    "path": pa.string(),
+    "chars": pa.int64(),
+    "shapes": pa.list_(pa.string()),
+    "parents": pa.list_(pa.int32()),
+    "at": pa.list_(pa.int32()),
+    "texts": pa.list_(pa.string()),
+    "linked": pa.list_(pa.int32()),
+    "own": pa.list_(pa.bool_()),
+}
+_SKELETON = "struct<path:string,chars:bigint,shapes:array<string>,parents:array<int>,at:array<int>,texts:array<string>,linked:array<int>,own:array<boolean>>"
+
+
+def _skeletons(html: pa.Array) -> pa.Array:
+    found = [skeleton(x.as_py() or "") for x in html]
+    return pa.StructArray.from_arrays([pa.array([f[k] for f in found], t) for k, t in _PARTS.items()], list(_PARTS))
+
+
+def _texts(pages: pa.Array, path: pa.Array) -> pa.Array:
+    return pa.array([extract(x.as_py(), p.as_py()) for x, p in zip(pages, path, strict=True)], pa.string())
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
-    Null or empty html, or a page without text outside the parts left out: an empty text. Pages
-    without a host form a host of their own. Most votes win, then most characters, then the
-    last path in order. Repeated rows vote each; other columns are ignored.
+    Every page is parsed once and its skeleton written; votes and texts come from it. Null or
+    empty html, or a page without text outside the parts left out: an empty text. From a tag
+    that never ends on, the rest of a page is text. Pages without a host form a host of their
+    own. Most votes win, then most characters, then the last path in order. Repeated rows vote
+    each; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "html")
-    pages = pages.select("page_id", "url", "html")
-    vote, text = F.arrow_udf(_votes, "struct<path:string,chars:bigint>"), F.arrow_udf(_texts, "string")
-    host = host_of(F.col("url"))
-    votes = pages.select(host.alias("host"), vote("html").alias("v")).where("v.chars > 0")
-    counted = votes.groupBy("host", F.col("v.path").alias("path")).agg(F.count("*").alias("n"), F.sum("v.chars").alias("chars"))
+    parsed, text = F.arrow_udf(_skeletons, _SKELETON), F.arrow_udf(_texts, "string")
+    rows = scratch.write(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), parsed("html").alias("page")), "pages")
+    votes = rows.where("page.chars > 0").groupBy("host", F.col("page.path").alias("path"))
+    counted = votes.agg(F.count("*").alias("n"), F.sum("page.chars").alias("chars"))
     won = counted.groupBy("host").agg(F.max(F.struct("n", "chars", "path")).alias("w")).select(F.col("host").alias("of_host"), F.col("w.path").alias("path"))
     won = scratch.write(won, "paths")
-    out = pages.join(won, host == won["of_host"], "left").select("page_id", "url", text("html", "path").alias("text"))
+    out = rows.join(won, rows["host"] == won["of_host"], "left").select("page_id", "url", text("page", "path").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
