@@ -15,9 +15,10 @@ from ..functions.dates import date_from_text
 from ..functions.holidays import clean_holiday_name, holiday_code
 from ..functions.numeric import floor_zero, round_half_even
 from ..models.trend_weekday import trend_weekday, trend_weekday_rows
-from ..operators import counting, features, filters, folds, scoring, series
+from ..operators import counting, feasts, features, filters, folds, scoring, series
 from ..session import cut_lineage, scratch_path, ship_package
 from ..sources.cases import cases_a_from_tpch, cases_b_from_tpch
+from ..sources.metric_log import compare_runs, log_metrics, read_log
 from ..sources.sinks import write_series
 from ..sources.tables import read_table
 from ..sources.cases import routing_agents_from_tpch
@@ -331,6 +332,20 @@ def q_holiday_window(spark, sf):
     return features.holiday_window(testbed.holidays(spark, sf), 0, 1)
 
 
+def _feasts(spark, sf):
+    return feasts.feast_calendar(testbed.modelling_series(spark, sf))
+
+
+@register("feast_calendar")
+def q_feast_calendar(spark, sf):
+    return _feasts(spark, sf)
+
+
+@register("feast_effect")
+def q_feast_effect(spark, sf):
+    return feasts.feast_effect(testbed.modelling_series(spark, sf), _feasts(spark, sf))
+
+
 @register("holiday_flags")
 def q_holiday_flags(spark, sf):
     return features.holiday_flags(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
@@ -481,6 +496,30 @@ def q_fold_metrics(spark, sf):
     return m.withColumn("run", F.lit("rolling_730_60_30"))
 
 
+MEASURES = ["mae", "rmse", "mape", "kpi", "wkpi"]
+
+
+def _metric_log(spark, sf):
+    """The rolling folds are logged twice (as by a restarted job) around a run of the validation tail."""
+    path = scratch_path(spark, "metric_log")
+    rolling = cut_lineage(q_fold_metrics(spark, sf), "fold_scores")
+    log_metrics(rolling.where("fold % 2 = 0"), path, "rolling_730_60_30", MEASURES)
+    log_metrics(scoring.metric_table(_validation_scores(spark, sf), [S, "model"]), path, "validation_tail", MEASURES)
+    log_metrics(rolling, path, "rolling_730_60_30", MEASURES)
+    return read_log(spark, path)
+
+
+@register("metric_log")
+def q_metric_log(spark, sf):
+    """Two runs and one repeat leave two runs."""
+    return _metric_log(spark, sf)
+
+
+@register("compare_runs")
+def q_compare_runs(spark, sf):
+    return compare_runs(_metric_log(spark, sf), "rolling_730_60_30", "validation_tail")
+
+
 @register("cv_mean")
 def q_cv_mean(spark, sf):
     return scoring.cv_mean(q_fold_metrics(spark, sf), [S, "model"], "wkpi")

@@ -614,3 +614,61 @@ cvm AS (SELECT series_id, model, round(coalesce(avg(wkpi), CAST('inf' AS DOUBLE)
 """, body="SELECT coalesce(tw.series_id, cvm.series_id) AS series_id, coalesce(tw.model, cvm.model) AS model, test_wkpi, cv_mean_wkpi "
           "FROM tw FULL JOIN cvm ON tw.series_id = cvm.series_id AND tw.model = cvm.model"),
 })
+
+# Easter by the golden number and the weekday of the full moon; the engine goes by epact and century.
+FEASTS_SQL = """
+fy AS (SELECT unnest(generate_series(year(min(ds)), year(max(ds)) + 1)) AS y FROM intake),
+moon AS (SELECT y, y % 19 AS g, y // 100 AS c FROM fy),
+moon2 AS (SELECT *, (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30 AS h FROM moon),
+moon3 AS (SELECT *, h - (h // 28) * (1 - (29 // (h + 1)) * ((21 - g) // 11)) AS i FROM moon2),
+easter AS (SELECT y, CAST(make_date(CAST(y AS INTEGER), 3, 28) + CAST(i - (y + y // 4 + i + 2 - c + c // 4) % 7 AS INTEGER) AS DATE) AS e FROM moon3),
+rule_days AS (
+  SELECT make_date(CAST(y AS INTEGER), m, d) AS ds, name AS holiday
+  FROM fy, (VALUES (1, 1, 'New Year''s Day'), (5, 1, 'Labour Day'), (8, 9, 'National Day'), (12, 25, 'Christmas Day'), (12, 26, 'Boxing Day')) v(m, d, name)
+  UNION ALL
+  SELECT CAST(e + k AS DATE), name FROM easter, (VALUES (-2, 'Good Friday'), (1, 'Easter Monday'), (50, 'Whit Monday')) v(k, name)
+  UNION ALL
+  SELECT CAST(d AS DATE), 'Harvest Day' FROM (
+    SELECT y, unnest(generate_series(make_date(CAST(y AS INTEGER), 11, 22), make_date(CAST(y AS INTEGER), 11, 28), INTERVAL 1 DAY)) AS d FROM fy
+  ) WHERE isodow(d) = 4
+),
+rd AS (SELECT DISTINCT ds, holiday FROM rule_days),
+feasts AS (
+  SELECT ds, holiday, ds AS rule_ds, false AS observed FROM rd
+  UNION ALL
+  SELECT min(f.d), r.holiday, r.ds, true
+  FROM rd r JOIN (SELECT CAST(ds + k AS DATE) AS d, ds FROM (SELECT DISTINCT ds FROM rd) z, (SELECT CAST(unnest(generate_series(1, 7)) AS INTEGER) AS k) w) f ON f.ds = r.ds
+  WHERE isodow(r.ds) = 7 AND f.d NOT IN (SELECT ds FROM rd) GROUP BY r.holiday, r.ds
+)
+"""
+
+_LOG = with_(INTAKE, CVB, FOLDS, FOLD_ROWS, VALID, f"""
+vmetrics AS (SELECT series_id, model, {measures()['mae']} AS mae, {measures()['rmse']} AS rmse, {measures()['mape']} AS mape,
+  {measures()['kpi']} AS kpi, {measures()['wkpi']} AS wkpi FROM vfc GROUP BY series_id, model),
+wide AS (
+  SELECT 'rolling_730_60_30' AS run, model, series_id, CAST(fold AS VARCHAR) AS fold, mae, rmse, mape, kpi, wkpi FROM fmetrics
+  UNION ALL
+  SELECT 'validation_tail', model, series_id, 'all', mae, rmse, mape, kpi, wkpi FROM vmetrics
+),
+mlog AS (
+  SELECT run, model, series_id, fold, unnest(['mae', 'rmse', 'mape', 'kpi', 'wkpi']) AS metric,
+         unnest([CAST(mae AS DOUBLE), rmse, mape, kpi, wkpi]) AS value FROM wide
+)""", body="{}")
+
+SQL.update({
+    "feast_calendar": with_(INTAKE, FEASTS_SQL, body="SELECT ds, holiday, rule_ds, observed FROM feasts"),
+    "feast_effect": with_(INTAKE, FEASTS_SQL, """
+usual AS (SELECT series_id, isodow(ds) AS w, avg(CAST(y AS DOUBLE)) AS u FROM intake WHERE y IS NOT NULL AND ds NOT IN (SELECT ds FROM feasts) GROUP BY 1, 2)
+""", body="""
+SELECT i.series_id, f.holiday, count(*) AS n_days, round(avg(CAST(i.y AS DOUBLE)), 6) AS mean_y, round(avg(u.u), 6) AS mean_plain
+FROM intake i JOIN (SELECT DISTINCT ds, holiday FROM feasts) f USING (ds) LEFT JOIN usual u ON u.series_id = i.series_id AND u.w = isodow(i.ds)
+WHERE i.y IS NOT NULL GROUP BY 1, 2"""),
+    "metric_log": _LOG.replace("{}", "SELECT run, model, series_id, fold, metric, value FROM mlog"),
+    "compare_runs": _LOG.replace("{}", """
+SELECT *, round(other - base, 6) AS change FROM (
+  SELECT model, series_id, metric, count(CASE WHEN run = 'rolling_730_60_30' THEN value END) AS n_base,
+         count(CASE WHEN run = 'validation_tail' THEN value END) AS n_other,
+         round(avg(CASE WHEN run = 'rolling_730_60_30' THEN value END), 6) AS base,
+         round(avg(CASE WHEN run = 'validation_tail' THEN value END), 6) AS other
+  FROM mlog GROUP BY 1, 2, 3)"""),
+})
