@@ -44,16 +44,20 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Co
     return cond
 
 
+def _weight(key: str, spec: MixSpec) -> Column:
+    w = F.lit(1.0)
+    for value, weight in spec.weights.get(key, {}).items():
+        w = F.when(F.col(key) == value, float(weight)).otherwise(w)
+    return w
+
+
 def _share_out(children: DataFrame, parents: list[str], key: str, spec: MixSpec) -> DataFrame:
     """Adds ``budget`` to children (parents, key, cap, given): given is shared by weight up to cap.
 
     Children are filled in the order of cap / weight; the first whose fair share is below its
     cap fixes the level that all later ones get.
     """
-    w = F.lit(1.0)
-    for value, weight in spec.weights.get(key, {}).items():
-        w = F.when(F.col(key) == value, float(weight)).otherwise(w)
-    rows = children.withColumn("w", w).withColumn("ratio", F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(float("inf")))
+    rows = children.withColumn("w", _weight(key, spec)).withColumn("ratio", F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(float("inf")))
     by = Window.partitionBy(*parents).orderBy("ratio", key) if parents else Window.partitionBy(F.lit(0)).orderBy("ratio", key)
     all_of = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -66,10 +70,16 @@ def _share_out(children: DataFrame, parents: list[str], key: str, spec: MixSpec)
 
 
 def budgets(leaves: DataFrame, spec: MixSpec) -> DataFrame:
-    """domain, lang, source, supply, rows, budget: tokens each leaf is to give."""
+    """domain, lang, source, supply, rows, budget: tokens each leaf is to give.
+
+    A node's cap counts only what its children may give: a subtree of weight 0 gives nothing, and
+    the budget it cannot take goes on to siblings, then to the ancestors' siblings.
+    """
     leaves = leaves.withColumn("cap", F.col("supply").cast("double") * spec.max_epochs)
     given = leaves.agg(F.floor(F.sum("supply") * spec.share).cast("double").alias("given"))
-    nodes = {k: leaves.groupBy(*LEVELS[: k + 1]).agg(F.sum("cap").alias("cap")) for k in range(2)} | {2: leaves}
+    gives = [_weight(key, spec) > 0 for key in LEVELS]
+    open_below = {1: gives[2], 0: gives[1] & gives[2]}
+    nodes = {k: leaves.groupBy(*LEVELS[: k + 1]).agg(F.sum(F.when(below, F.col("cap")).otherwise(0.0)).alias("cap")) for k, below in open_below.items()} | {2: leaves}
     top = nodes[0].withColumn("one", F.lit(1)).join(given.withColumn("one", F.lit(1)), "one").drop("one")
     shared = _share_out(top, [], LEVELS[0], spec)
     for k in (1, 2):
