@@ -160,6 +160,30 @@ def test_a_group_larger_than_a_shard_is_split(spark):
     assert len(n) == 4 and max(n.values()) < 1.15 * min(n.values())
 
 
+def test_a_group_that_fits_a_shard_stays_whole(spark):
+    rng = random.Random(4)
+    groups = [prose(rng, 60) + f" copy {g}" for g in range(6)]
+    every = [*[prose(rng, rng.randint(20, 60)) for _ in range(600)], *[g for g in groups for _ in range(25)]]
+    rng.shuffle(every)
+    rows = sharding.kd_shards(docs_of(spark, every), 8).collect()
+    total, where = collections.Counter(), collections.defaultdict(set)
+    for r in rows:
+        total[r.shard] += r.size
+        where[every[r.doc_id]].add(r.shard)
+    # each group holds a fourth or so of a shard, far above the slack of 3 %
+    assert all(25 * len(g) > 0.15 * sum(total.values()) / 8 for g in groups)
+    assert all(len(s) == 1 for s in where.values())
+    assert max(total.values()) < 1.15 * sum(total.values()) / 8 and min(total.values()) > 0.85 * sum(total.values()) / 8
+
+
+def test_the_widest_dimension_is_the_one_that_spreads_the_bytes(spark):
+    rows = [(0, 100, lang, i % 8, 20 << 19) for i, lang in enumerate([5] * 63 + [2**24 - 1])]
+    rows += [(1, 100, i % 4, 2**24 - 1 if i == 0 else 7, 20 << 19) for i in range(64)]
+    rows += [(2, 100, 1, 1, i << 19) for i in range(16)]
+    df = spark.createDataFrame(rows, "node long, size long, lang long, source long, length long")
+    assert sharding._widest(df) == {0: (6400, 1), 1: (6400, 0), 2: (1600, 2)}
+
+
 def brute_fill(given, caps, weights):
     out, left = [0.0] * len(caps), given
     open_ = [i for i, w in enumerate(weights) if w > 0]
