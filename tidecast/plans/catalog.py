@@ -577,6 +577,7 @@ def q_sink_full(spark, sf):
 
 from ..models import arx as arx_model  # noqa: E402
 from ..models import gbt as gbt_model  # noqa: E402
+from ..models import sarima as sarima_model  # noqa: E402
 from ..models import structural  # noqa: E402
 
 # --- fixed values (the original's live tree parameters) -------------------------------------
@@ -632,9 +633,7 @@ def q_forecast_structural(spark, sf):
 
 
 def _arx_rows(spark, sf):
-    x = features.calendar_features(features.holiday_flags(testbed.modelling_series(spark, sf),
-                                                          _series_holidays(spark, sf)).drop("wday"))
-    return arx_model.with_lags(x)
+    return arx_model.with_lags(_calendar_rows(spark, sf))
 
 
 @register("forecast_arx")
@@ -659,6 +658,18 @@ def q_backtest_arx(spark, sf):
     return _fold_scores(fc, [S]).join(scoring.cv_pooled(fc, [S]), S)
 
 
+def _calendar_rows(spark, sf):
+    return features.calendar_features(features.holiday_flags(testbed.modelling_series(spark, sf),
+                                                             _series_holidays(spark, sf)).drop("wday"))
+
+
+@register("forecast_sarima")
+def q_forecast_sarima(spark, sf):
+    """Seasonal ARIMA by stepwise search, fitted on the CV window, forecast over the test window."""
+    rows = testbed.fixed_split(_calendar_rows(spark, sf)).withColumn("role", F.col("split")).drop("split")
+    return sarima_model.forecast_sarima(rows, [S])
+
+
 def _gbt_frames(spark, sf):
     ff = features.feature_frame(testbed.modelling_series(spark, sf), _series_holidays(spark, sf))
     return testbed.cv_slice(ff), testbed.test_slice(ff)
