@@ -75,6 +75,18 @@ def test_parameters_next_to_a_unit_root_do_no_harm():
     assert np.isfinite(aicc) and np.abs(at).max() <= sarima.REACH
 
 
+def test_a_fit_from_a_neighbour_is_no_worse_than_the_neighbour():
+    y = simulate(np.random.default_rng(9), 400, phi=(0.6, 0.2), theta=(0.3,))
+    w = np.column_stack([y, np.ones(400)])
+    at, ll = sarima.maximise((1, 1, 0, 0), w)
+    for order in ((2, 1, 0, 0), (1, 2, 0, 0), (2, 2, 0, 0), (1, 1, 1, 1)):
+        more, got = sarima.maximise(order, w, near=((1, 1, 0, 0), at))
+        assert got >= ll - 0.05
+        assert got == pytest.approx(float(sarima.likelihood(more[None], order, w)[0][0]), abs=1e-9)
+    alone, want = sarima.maximise((1, 0, 0, 0), w)
+    assert sarima.maximise((1, 0, 0, 0), w, near=((1, 1, 0, 0), at))[1] == pytest.approx(want, abs=0.02)
+
+
 def test_arma_coefficients_are_recovered():
     y = simulate(np.random.default_rng(1), 1500, phi=(0.7,), theta=(0.4,))
     at, _ = sarima.fit_order(y, np.zeros((1500, 0)), 0, 0, (1, 1, 0, 0))

@@ -35,6 +35,8 @@ BLOCK = 64
 MAX_D = 2
 #: Partial autocorrelations stay within tanh(3) = 0.995.
 REACH = 3.0
+#: Least gain of a step in log likelihood.
+GAIN = 2e-3
 
 
 @dataclass(frozen=True)
@@ -160,9 +162,10 @@ def filtered(phi: np.ndarray, theta: np.ndarray, w: np.ndarray) -> tuple[np.ndar
             v[:, t] = w[t] - state[:, 0]
             state_next = state_next + gain * v[:, t][:, None, :]
             cov_next = cov_next - cov[:, :1, :1] * (gain @ gain.transpose(0, 2, 1))
-            moved, size = (np.abs(c).max(axis=(1, 2)) for c in (cov_next - cov, cov))
-            if t > last and not (moved > 1e-10 * size).any():  # rows that overflowed hold up nothing
-                return _settled(step, gain, state_next, w, v, f, t + 1, cov_next[:, 0, 0])
+            if t > last and t % 8 == 7:
+                moved, size = (np.abs(c).max(axis=(1, 2)) for c in (cov_next - cov, cov))
+                if not (moved > 1e-9 * size).any():  # rows that overflowed hold up nothing
+                    return _settled(step, gain, state_next, w, v, f, t + 1, cov_next[:, 0, 0])
         state, cov = state_next, cov_next
     return v, f, state
 
@@ -215,11 +218,26 @@ def likelihood(x: np.ndarray, order, w: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ll, beta, s2
 
 
-def maximise(order, w: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """BFGS from small positive partial autocorrelations; gradient and step lengths are batches."""
+def _starts(order, near: tuple | None) -> np.ndarray:
+    """Parameters to begin from: small and middling ones of either sign for the AR and the MA part,
+    and those of a fitted neighbour (order, parameters), which a partial autocorrelation near 0
+    leaves the same model in a larger order."""
+    p, q, sp, sq = order
+    ar = np.concatenate([np.ones(p), np.zeros(q), np.ones(sp), np.zeros(sq)])
+    rows = [a * ar + b * (1 - ar) for a, b in ((0.1, 0.1), (0.5, 0.3), (0.5, -0.3), (-0.5, 0.3), (-0.1, -0.1), (0.1, 0.8), (0.1, -0.8))]
+    if near is not None:
+        parts = np.split(np.asarray(near[1], float), np.cumsum(near[0])[:-1])
+        rows.append(np.concatenate([np.r_[part[:n], np.full(max(0, n - len(part)), 0.02)] for n, part in zip(order, parts)]))
+    return np.array(rows)
+
+
+def maximise(order, w: np.ndarray, near: tuple | None = None, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """BFGS from the best of ``_starts`` until a step gains less than GAIN; gradient and step
+    lengths are batches."""
     m = sum(order)
-    x = np.full(m, 0.1)
-    best = float(likelihood(x[None], order, w)[0][0])
+    starts = _starts(order, near)
+    ll = likelihood(starts, order, w)[0]
+    x, best = starts[int(np.argmax(ll))], float(ll.max())
     if not m:
         return x, best
     eye, eps = np.eye(m), 1e-4
@@ -237,7 +255,9 @@ def maximise(order, w: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float]
         tries = np.clip(x + lengths * (h @ g), -REACH, REACH)
         ll = likelihood(tries, order, w)[0]
         k = int(np.argmax(ll))
-        if not ll[k] > best + 1e-7 * (1 + abs(best)):
+        if not ll[k] > best + GAIN:
+            if ll[k] > best:
+                x, best = tries[k], float(ll[k])
             break
         move, new = tries[k] - x, gradient(tries[k])
         x, best, bend, g = tries[k], float(ll[k]), g - new, new
@@ -264,13 +284,13 @@ def _scaled(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w / size, size
 
 
-def fit_order(y, x, d, sd, order) -> tuple[np.ndarray, float] | None:
+def fit_order(y, x, d, sd, order, near=None) -> tuple[np.ndarray, float] | None:
     """Parameters and AICc of one order, or None where the rows are too few for it."""
     w, _ = _scaled(_difference(_design(y, x, d, sd), d, sd))
     n, k = int((~np.isnan(w).any(axis=1)).sum()), sum(order) + w.shape[1]
     if n <= k + 2:
         return None
-    at, ll = maximise(order, w)
+    at, ll = maximise(order, w, near)
     return at, -2 * ll + 2 * k + 2 * k * (k + 1) / (n - k - 1)
 
 
@@ -341,7 +361,8 @@ def _fit_rows(frames: Iterator[pd.DataFrame], nx: int) -> Iterator[pd.DataFrame]
         out = []
         for r in pdf.itertuples(index=False):
             order = (r.p, r.q, r.sp, r.sq)
-            got = fit_order(np.asarray(r.y, float), np.asarray(r.x, float).reshape(-1, nx), r.d, r.sd, order) if len(r.y) else None
+            near = None if r.near is None else (tuple(r.near[c] for c in ORDER), r.near["at"])
+            got = fit_order(np.asarray(r.y, float), np.asarray(r.x, float).reshape(-1, nx), r.d, r.sd, order, near) if len(r.y) else None
             out.append((r.gid, *order, got[1] if got else None, list(got[0]) if got else None))
         yield pd.DataFrame(out, columns=["gid", *ORDER, "aicc", "at"])
 
@@ -376,11 +397,12 @@ def _predict_rows(frames: Iterator[pd.DataFrame], keys: list[str], nx: int) -> I
 def search_orders(packed: DataFrame, nx: int, spec: SearchSpec = SearchSpec()) -> DataFrame:
     """gid, order, aicc, at: every order tried for each packed group (aicc null: too few rows).
 
-    One job a round over the untried neighbours of every group's best order.
+    One job a round over the untried neighbours of every group's best order, each fitted from the
+    parameters of that best one.
     """
     spark = packed.sparkSession
     orders = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(ORDER, o)]) for o in spec.start])
-    todo = packed.select("gid", F.inline(orders))
+    todo = packed.select("gid", F.inline(orders), F.lit(None).cast("struct<p:int,q:int,sp:int,sq:int,at:array<double>>").alias("near"))
     tried = None
     moves = F.array(*[F.struct(*[F.lit(v).alias(f"by_{c}") for c, v in zip(ORDER, s)]) for s in spec.steps])
     within = " and ".join(f"{c} between 0 and {top}" for c, top in zip(ORDER, spec.largest))
@@ -389,9 +411,9 @@ def search_orders(packed: DataFrame, nx: int, spec: SearchSpec = SearchSpec()) -
         rows = todo.join(packed.select("gid", "y", "x", "d", "sd"), "gid").repartition(fit_partitions(spark), "gid", *ORDER)
         fits = cut_lineage(rows.mapInPandas(lambda it: _fit_rows(it, nx), schema), "orders")
         tried = fits if tried is None else tried.unionByName(fits)
-        best = best_orders(tried).select("gid", *ORDER)
-        near = best.select("gid", *ORDER, F.inline(moves)).select("gid", *[(F.col(c) + F.col(f"by_{c}")).alias(c) for c in ORDER]).where(within)
-        todo = cut_lineage(near.join(tried, ["gid", *ORDER], "left_anti"), "neighbours")
+        best = best_orders(tried).select("gid", F.struct(*ORDER, "at").alias("near"), F.inline(moves))
+        beside = best.select("gid", *[(F.col(f"near.{c}") + F.col(f"by_{c}")).alias(c) for c in ORDER], "near").where(within)
+        todo = cut_lineage(beside.join(tried, ["gid", *ORDER], "left_anti"), "neighbours")
         if todo.isEmpty():
             return tried
 
