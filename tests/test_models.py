@@ -104,6 +104,36 @@ def test_tree_folds_fit_each_set_on_its_train_rows_only(spark):
     raise AssertionError("a step size above 1 must be refused")
 
 
+def test_tree_fits_have_tasks_by_their_rows_not_by_the_shuffle_settings(spark, monkeypatch):
+    """Many shuffle partitions and files: small fits keep one partition, more rows get more, forecasts stay
+    (values without equally good splits: the order of sums decides those)."""
+    days = [D(2021, 1, 4) + dt.timedelta(days=i) for i in range(120)]
+    df = spark.createDataFrame([(f"s{s}", d, d.weekday(), 11.0 * s * s + (3.0, 17.0, 8.5, 29.0, 1.0, 41.0, 22.0)[d.weekday()]) for s in range(8) for d in days],
+                               "series_id string, ds date, wday int, y double").repartition(16, "series_id", "ds")
+
+    def halves(x):
+        i = F.datediff("ds", F.lit("2021-01-04").cast("date"))
+        return x.withColumn("fold", F.floor(i / 60).cast("int") + 1).withColumn("role", F.when(i % 60 < 50, "train").otherwise("test"))
+
+    seen, plain = [], gbt.GBTRegressor.fit
+    monkeypatch.setattr(gbt.GBTRegressor, "fit", lambda self, rows: (seen.append((rows.rdd.getNumPartitions(), rows.count())), plain(self, rows))[1])
+    grid = [dict(TREE, num_iterations=3), dict(TREE, num_iterations=2, param_id=7)]
+    keys = ["fold", "param_id", "series_id", "ds"]
+
+    def forecasts():
+        seen.clear()
+        return gbt.forecast_folds(df, grid, halves, ["wday"]).toPandas().sort_values(keys).reset_index(drop=True)
+
+    one = forecasts()
+    assert seen == [(1, 400)] * 4 and len(one) == 2 * 2 * 8 * 10
+    gbt.fit(df.withColumn("holiday_code", F.lit(0)), TREE, ["wday"])
+    assert seen[4:] == [(1, 960)]
+    monkeypatch.setattr(gbt, "ROWS_PER_TASK", 150)
+    many = forecasts()
+    assert seen == [(3, 400)] * 4
+    assert one[keys].equals(many[keys]) and np.allclose(one.fcst, many.fcst)
+
+
 def test_tree_sets_are_numbered_as_the_grid(spark):
     from tidecast.operators import folds
     from tidecast.plans import catalog
